@@ -2,91 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import io
 import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.plans.scratch import materialize, partitions, ship
+
 #: Stands for a null id inside operators: null sorts before every id.
 NULL_ID = -(2**63)
-#: Bytes of stored input that one shuffle partition stands for.
-BYTES_PER_PARTITION = 16 << 20
+__all__ = ["materialize", "partitions", "ship"]
 WORD = r"[^\x20\x09-\x0D]+"
 
-_shipped: set[str] = set()
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp()) / "millrace_package.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent).as_posix())
-    spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a local one is made only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read again."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def drop_scratch() -> None:
-    """Delete the scratch tables of this process; results read from them must be written by then."""
-    while _scratch:
-        spark, path = _scratch.pop()
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may have ended, and its folder with it
-            return
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Stored bytes that the leaves of the plan read, 0 where Spark doesn't know."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return total if total < 1 << 60 else 0
-
-
-def partitions(df: DataFrame) -> int:
-    """Shuffle partitions for this input: they follow its size, and the session's setting is the least."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-input_bytes(df) // BYTES_PER_PARTITION))
-
-
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) with null ids as NULL_ID and null texts empty; other columns, clashing names too, go."""
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

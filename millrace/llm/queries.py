@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import in_dir
+from millrace.llm.decontaminate import leaks
+from millrace.llm.langid import identify
+from millrace.llm.quality import quality_report
+from millrace.llm.simhash import near_duplicates
 from millrace.llm.substring_dedup import dedup_word_spans
 from millrace.llm.suffix_dedup import dedup_substrings
 
@@ -20,13 +24,33 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_word_spans(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(documents(spark, sf_dir))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(documents(spark, sf_dir), spark.read.parquet(in_dir(sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_simhash": op2_simhash,
+    "op5_language_id": op5_language_id,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_decontaminate": op8_decontaminate,
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -57,4 +81,30 @@ gone AS (SELECT doc_id, list(DISTINCT i + k) AS g FROM r, range(20) t(k) GROUP B
 k AS (SELECT doc_id, len(w) AS n, coalesce(len(g), 0) AS gone, CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END AS kept
       FROM d LEFT JOIN gone USING (doc_id))
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(gone AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
+    "op7_quality_rules": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS_SQL} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+t AS (SELECT doc_id, i, w[i:i + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 1))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS n FROM t) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(3) s(k) GROUP BY doc_id),
+b AS (
+  SELECT doc_id, text, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN c USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
+            OR 10 * n_repeat_words > 3 * n_words OR 10 * len(regexp_extract_all(text, '!')) > 3 * n_words
+            OR 2 * len(regexp_extract_all(text, '\\p{{Lu}}')) > len(regexp_extract_all(text, '\\p{{L}}'))
+            OR 10 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) < 7 * n_words) AS kept
+FROM f""",
+    "op8_decontaminate": """
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS v FROM benchmark),
+dg AS (SELECT doc_id, i, w[i:i + 3] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2))) AS i FROM d)),
+bg AS (SELECT item_id, j, v[j:j + 3] AS g FROM (SELECT item_id, v, unnest(range(1, greatest(1, len(v) - 2))) AS j FROM b)),
+x AS (SELECT DISTINCT doc_id, item_id, i - j AS diag FROM dg JOIN bg USING (g)),
+y AS (SELECT doc_id, item_id, diag, w, v, unnest(range(greatest(1, 1 - diag), least(len(v) - 12, len(w) - diag - 12) + 1)) AS j FROM x JOIN d USING (doc_id) JOIN b USING (item_id)),
+z AS (SELECT doc_id, item_id, j + diag - 1 AS lo, list_sum(list_transform(range(0, 13), lambda k: CAST(w[j + diag + k] = v[j + k] AS INT))) AS n FROM y)
+SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS best, CAST(min(lo) AS BIGINT) AS doc_from, CAST(max(lo) + 13 AS BIGINT) AS doc_to FROM z WHERE n >= 11 GROUP BY doc_id, item_id""",
 }
