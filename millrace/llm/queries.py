@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.bpe import round_trip
 from millrace.llm.common import in_dir
 from millrace.llm.decontaminate import leaks
 from millrace.llm.langid import identify
@@ -14,6 +15,7 @@ from millrace.llm.quality import quality_report
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.substring_dedup import dedup_word_spans
 from millrace.llm.suffix_dedup import dedup_substrings
+from millrace.llm.token_store import stored_digests
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op3_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
@@ -44,13 +50,19 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), spark.read.parquet(in_dir(sf_dir, "benchmark")))
 
 
+def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
+    "op3_pair_index_bpe": op3_pair_index_bpe,
     "op5_language_id": op5_language_id,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontaminate": op8_decontaminate,
+    "op9_token_codes": op9_token_codes,
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
