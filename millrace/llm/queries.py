@@ -11,6 +11,8 @@ from millrace.llm.bpe import round_trip
 from millrace.llm.common import in_dir
 from millrace.llm.decontaminate import leaks
 from millrace.llm.langid import identify
+from millrace.llm.lm import score_documents
+from millrace.llm.placement import place
 from millrace.llm.quality import quality_report
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.substring_dedup import dedup_word_spans
@@ -34,6 +36,10 @@ def op3_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
@@ -54,15 +60,21 @@ def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_digests(documents(spark, sf_dir))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
     "op3_pair_index_bpe": op3_pair_index_bpe,
+    "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontaminate": op8_decontaminate,
     "op9_token_codes": op9_token_codes,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -119,4 +131,16 @@ x AS (SELECT DISTINCT doc_id, item_id, i - j AS diag FROM dg JOIN bg USING (g)),
 y AS (SELECT doc_id, item_id, diag, w, v, unnest(range(greatest(1, 1 - diag), least(len(v) - 12, len(w) - diag - 12) + 1)) AS j FROM x JOIN d USING (doc_id) JOIN b USING (item_id)),
 z AS (SELECT doc_id, item_id, j + diag - 1 AS lo, list_sum(list_transform(range(0, 13), lambda k: CAST(w[j + diag + k] = v[j + k] AS INT))) AS n FROM y)
 SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS best, CAST(min(lo) AS BIGINT) AS doc_from, CAST(max(lo) + 13 AS BIGINT) AS doc_to FROM z WHERE n >= 11 GROUP BY doc_id, item_id""",
+    "op4_sharding": """
+WITH RECURSIVE s AS (
+  SELECT i, CAST('0x' || substr(md5('offset:shard-' || i), 1, 8) AS BIGINT) % 2039 AS off, CAST('0x' || substr(md5('skip:shard-' || i), 1, 8) AS BIGINT) % 2038 + 1 AS skip FROM range(16) t(i)),
+p AS (SELECT i, list_transform(range(0, 2039), lambda j: CAST((off + j * skip) % 2039 AS INT)) AS prefs FROM s),
+fill AS (
+  SELECT CAST(0 AS BIGINT) AS turn, CAST([] AS INT[]) AS slots, list_transform(range(0, 2039), lambda k: false) AS taken, CAST([] AS BIGINT[]) AS owners
+  UNION ALL
+  SELECT turn + 1, list_append(slots, slot), list_concat(taken[1:slot], [true], taken[slot + 2:]), list_append(owners, i)
+  FROM (SELECT f.turn, f.slots, f.taken, f.owners, p.i, list_filter(p.prefs, lambda x: NOT f.taken[x + 1])[1] AS slot FROM fill f JOIN p ON p.i = f.turn % 16 WHERE f.turn < 2039)),
+t AS (SELECT unnest(slots) AS slot, unnest(owners) AS shard FROM fill WHERE turn = 2039),
+d AS (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % 2039 AS slot FROM documents)
+SELECT doc_id, CAST(slot AS BIGINT) AS slot, CAST(shard AS BIGINT) AS shard FROM d JOIN t USING (slot)""",
 }
