@@ -1,10 +1,77 @@
-"""The corpus pipeline: five stages over `documents`."""
+"""The corpus pipeline: five stages over `documents`, each on all that the one before kept."""
+
+from __future__ import annotations
+
+import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from millrace.llm.bpe import encode_documents
+from millrace.llm.common import NULL_ID, materialize
+from millrace.llm.decontaminate import leaks
+from millrace.llm.langid import UNDETERMINED, classify, learn
+from millrace.llm.repeats import Repeats, Words
+from millrace.llm.simhash import near_duplicates
+from millrace.llm.substring_dedup import GRAM, WIDTH, automaton_matcher
+
+#: The least mean probability of the predicted language with which a document stays.
+LEAST_LANGUAGE_SCORE = 0.5
+#: Five-word shingles and a similarity of 0.8: SimHash of five words, at most four bits apart.
+SHINGLE, RADIUS = 5, 4
+
+
+def _key(column: str = "doc_id"):
+    return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a language: no letter, or no language of LEAST_LANGUAGE_SCORE. A missing lang becomes the predicted one."""
+    seen = classify(docs, learn(docs), "text", "__language", "__score")
+    kept = seen.where((F.col("__language") != UNDETERMINED) & (F.col("__score") >= LEAST_LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "__language")).select(*docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of least id stays; rows that repeat an id are one document."""
+    groups = near_duplicates(docs, shingle=SHINGLE, radius=RADIUS)
+    first = groups.where("doc_id <=> component_id").select(_key().alias("__key")).distinct()
+    kept = docs.withColumn("__key", _key()).join(first.hint("merge"), "__key", "left_semi")
+    once = W.partitionBy("__key").orderBy("__key")
+    return kept.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove the words of repeated windows. Documents that lose none keep their text as it is; those that lose all go."""
+    others = [F.col(c).alias(f"__{c}") for c in docs.columns]
+    own = docs.select(_key().alias("id"), F.coalesce("text", F.lit("")).alias("text"), *others)
+    out = Repeats(Words, WIDTH, GRAM, automaton_matcher).cleaned(own).where("n_removed < n OR n = 0")
+    text = F.when(F.col("n_removed") == 0, F.col("__text")).otherwise(F.col("kept").cast("string"))
+    made = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[made.get(c, F.col(f"__{c}")).alias(c) for c in docs.columns])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that share a window with a benchmark item."""
+    benchmark = spark.read.parquet(os.path.join(sf_dir, "benchmark.parquet"))
+    bad = leaks(docs, benchmark).select(_key().alias("__key")).distinct()
+    return docs.withColumn("__key", _key()).join(bad, "__key", "left_anti").select(*docs.columns)
+
+
+def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of each document that is left."""
+    out = encode_documents(docs)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES = []
+STAGES = [("language_id", language_id), ("simhash_dedup", simhash_dedup), ("substring_dedup", substring_dedup), ("decontaminate", decontaminate), ("bpe_encode", bpe_encode)]
+#: A trained network, fingerprints and merges: not for SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

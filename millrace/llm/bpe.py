@@ -9,6 +9,7 @@ import sys
 import unicodedata
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -290,18 +291,25 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>, decoded): the tokens themselves; cases as in `round_trip`."""
+    """(doc_id, ids array<int>, decoded): the tokens themselves and the text they decode to; cases as in `round_trip`."""
     path = path or default_path()
     ship(docs.sparkSession)
 
     def run(source):
         bpe, memory = worker_state("ids", path, PairIndexBPE)
+
+        def values(new: list[str]) -> list[tuple[bytes, str]]:
+            return [(np.array(ids, "<i4").tobytes(), bpe.decode(ids)) for ids in bpe.encode_stretches(new)]
+
         for batch in source:
-            ids, decoded = [], []
-            for stretches, known in remembered(batch.column("text").to_pylist(), memory, bpe.encode_stretches):
-                ids.append([t for s in stretches for t in known[s]])
-                decoded.append(bpe.decode(ids[-1]))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())})
+            sizes, data, decoded = [0], [], []
+            for stretches, known in remembered(batch.column("text").to_pylist(), memory, values):
+                pairs = [known[s] for s in stretches]
+                data.append(b"".join([p[0] for p in pairs]))
+                sizes.append(len(data[-1]) // 4)
+                decoded.append(" ".join([p[1] for p in pairs if p[0]]))
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4")))
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "ids": ids, "decoded": pa.array(decoded, pa.string())})
 
     out = keyed_text(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>, decoded string")
     return out.select(outer_id(id_col), "ids", "decoded")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import blocks, ship, utf8
 
@@ -200,14 +201,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return train(segments, targets, labels) if segments else None
 
 
-def classify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, text) for each row; the text passes through, null if null."""
+def classify(docs: DataFrame, network: Network | None, text_col: str, pred: str, score: str) -> DataFrame:
+    """All rows and columns of docs, with the predicted language and its probability under the two names."""
     ship(docs.sparkSession)
 
     def run(source):
         for batch in source:
             preds, scores = [], []
-            for block in blocks(iter([batch]), 1 << 21):
+            for block in blocks(iter([batch.select([text_col]).rename_columns(["text"])]), 1 << 21):
                 texts = block.column("text")
                 if network is not None:
                     p = network.predict(*utf8(texts))
@@ -219,10 +220,10 @@ def classify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
                         k = int(p[i].argmax())
                         preds.append(network.labels[k])
                         scores.append(float(min(1.0, p[i, k])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), batch.column("text")], ["id", "lang_pred", "score", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, pred, score])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "id long, lang_pred string, score double, text string")
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -234,5 +235,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     letter, and all texts where nothing is labelled. A null id isn't held out.
     Repeated rows give a row each. Other columns are no input.
     """
-    out = classify(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = classify(own, learn(docs, id_col, text_col, lang_col), "text", "lang_pred", "score")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")

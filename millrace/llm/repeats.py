@@ -26,19 +26,18 @@ agree; the matchers of step 3 compare the tokens themselves.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import (
     BYTE_CODES,
     Prefix,
     blocks,
-    keyed_text,
     materialize,
     packed,
     partitions,
@@ -432,19 +431,22 @@ class Repeats:
         return gone.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("gone"))
 
     def cleaned(self, docs: DataFrame) -> DataFrame:
-        """(id, n, n_removed, n_spans, kept): tokens, those removed, maximal removed stretches, and what is left."""
+        """(id, n, n_removed, n_spans, kept): tokens, those removed, maximal removed stretches, and what is left; then other columns of docs as they are."""
         width, kind = self.width, self.kind
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+        extra = [c for c in docs.columns if c not in ("id", "text")]
 
-        def rows(source):
+        def run(source):
             for batch in source:
                 gone = batch.column("gone")
-                for i, (doc, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("text"))):
-                    body = text.as_buffer().to_pybytes()
-                    tokens = kind.tokens(body)
-                    n, row = len(tokens), {"id": doc}
+                n_, removed_, spans_, kept_ = [], [], [], []
+                for i, text in enumerate(batch.column("text")):
+                    tokens = kind.tokens(text.as_buffer().to_pybytes())
+                    n = len(tokens)
+                    n_.append(n)
                     if not gone[i].is_valid:
-                        yield row | {"n": n, "n_removed": 0, "n_spans": 0, "kept": kind.cut(tokens, 0, n)}
+                        removed_.append(0)
+                        spans_.append(0)
+                        kept_.append(kind.cut(tokens, 0, n))
                         continue
                     pairs = gone[i].values.flatten()
                     s = np.minimum(pairs[0].to_numpy().astype(np.int64), n)
@@ -453,21 +455,15 @@ class Repeats:
                     np.add.at(marks, s, 1)
                     np.add.at(marks, e, -1)
                     keep = np.cumsum(marks[:-1]) == 0
-                    removed = n - int(keep.sum())
-                    n_spans = int((~keep[1:] & keep[:-1]).sum()) + int(n > 0 and not keep[0])
-                    yield row | {"n": n, "n_removed": removed, "n_spans": n_spans, "kept": kind.join(tokens, keep)}
-
-        pairs = docs.select("id", F.col("text").cast("binary").alias("text")).join(self.repeated(docs).hint("shuffle_hash"), "id", "left")
-        return pairs.mapInArrow(lambda source: batches(rows(source), schema), "id long, n long, n_removed long, n_spans long, kept binary")
-
-
-def sha256_hex(column: str):
-    return F.sha2(F.col(column), 256)
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
-def documents_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return keyed_text(docs, id_col, text_col)
+                    removed_.append(n - int(keep.sum()))
+                    spans_.append(int((~keep[1:] & keep[:-1]).sum()) + int(n > 0 and not keep[0]))
+                    kept_.append(kind.join(tokens, keep))
+                made = [pa.array(x, pa.int64()) for x in (n_, removed_, spans_)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *made, pa.array(kept_, pa.binary()), *[batch.column(c) for c in extra]], ["id", "n", "n_removed", "n_spans", "kept", *extra])
+
+        long = T.LongType()
+        fields = [T.StructField(n, t) for n, t in (("id", long), ("n", long), ("n_removed", long), ("n_spans", long), ("kept", T.BinaryType()))]
+        schema = T.StructType([*fields, *[docs.schema[c] for c in extra]])
+        found = self.repeated(docs.select("id", "text"))
+        pairs = docs.withColumn("text", F.col("text").cast("binary")).join(found.hint("shuffle_hash"), "id", "left")
+        return pairs.mapInArrow(run, schema)
