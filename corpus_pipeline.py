@@ -18,8 +18,6 @@ from millrace.llm.substring_dedup import GRAM, WIDTH, automaton_matcher
 
 #: The least mean probability of the predicted language with which a document stays.
 LEAST_LANGUAGE_SCORE = 0.5
-#: Five-word shingles and a similarity of 0.8: SimHash of five words, at most four bits apart.
-SHINGLE, RADIUS = 5, 4
 
 
 def _key(column: str = "doc_id"):
@@ -34,8 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least id stays; rows that repeat an id are one document."""
-    groups = near_duplicates(docs, shingle=SHINGLE, radius=RADIUS)
+    """Of each group of near duplicates, as the operator's own contract has them, the document of least id stays; rows that repeat an id are one document."""
+    groups = near_duplicates(docs)
     first = groups.where("doc_id <=> component_id").select(_key().alias("__key")).distinct()
     kept = docs.withColumn("__key", _key()).join(first.hint("merge"), "__key", "left_semi")
     once = W.partitionBy("__key").orderBy("__key")

@@ -36,7 +36,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     got = {x.doc_id: (x.n_tokens, list(x.ids), x.decoded_sha256) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
 
     left = {i: t for i, t, _ in rows if t and any(c.isalpha() for c in t)}
-    groups = brute_components({i: fingerprint(t.encode(), 5) for i, t in left.items()}, 4)
+    groups = brute_components({i: fingerprint(t.encode()) for i, t in left.items()}, 4)
     left = {i: t for i, t in left.items() if groups[i] == i}
     kept = brute(list(left.items()), bytes.split, 20, b" ".join)
     left = {i: t if kept[i][1] == 0 else kept[i][3].decode() for i, t in left.items() if kept[i][1] < kept[i][0]}
