@@ -45,7 +45,7 @@ def around(at: Column, before: Column, after: Column) -> Column:
 
 def placed(df: DataFrame, masks: list[tuple[int, tuple[int, ...]]]) -> DataFrame:
     """A row for each token position and mask: (…, at, seed struct(mask, h))."""
-    at = df.where(F.size("tokens") > 0).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)))
+    at = df.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)))  # 0, -1 without tokens: no seed fits
     hashes = F.array(*[F.struct(F.lit(n).alias("mask"), seed(m, F.col("at"), n).alias("h")) for n, m in masks])
     return at.withColumn("seed", F.explode(hashes)).where("seed.h IS NOT NULL")
 
@@ -84,7 +84,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     for b in range(blocks):
         part = F.broadcast(table.where(F.col("part") % blocks == b).drop("part"))
         found.append(verified(placed(own, numbered).withColumn("h", F.col("seed.h")).join(part, "h"), substitutions))
-    out = reduce(DataFrame.unionByName, found).groupBy("id", "item").agg(F.max("best").alias("best"), F.min("lo").alias("doc_from"), F.max("hi").alias("doc_to"))
+    out = reduce(DataFrame.unionByName, found).groupBy("id", "item").agg(F.max("best").alias("best"), F.min("lo").alias("doc_from"), F.max("hi").alias("doc_to")).where("best IS NOT NULL")
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("best").cast("long").alias("best"), F.col("doc_from").cast("long").alias("doc_from"), F.col("doc_to").cast("long").alias("doc_to"))
 
 
@@ -99,5 +99,6 @@ def verified(hits: DataFrame, substitutions: int) -> DataFrame:
         every = F.transform(F.sequence(F.lit(0), size), lambda a: F.struct(F.aggregate(F.slice(flags, a + 1, size), F.lit(0), lambda s, x: s + x).alias("n"), (F.col("at") - size + a).alias("lo")))
         return F.filter(every, lambda w: w["n"] >= size - allowed)
 
-    good = hits.select("id", "item", "size", let(agree, windows).alias("good")).where(F.size("good") > 0)
+    # No filter here: the optimiser would make it a condition of the join and so take the join out of generated code.
+    good = hits.select("id", "item", "size", let(agree, windows).alias("good"))
     return good.select("id", "item", F.array_max("good")["n"].alias("best"), F.array_min(F.transform("good", lambda w: w["lo"])).alias("lo"), (F.array_max(F.transform("good", lambda w: w["lo"])) + F.col("size")).alias("hi"))
