@@ -17,10 +17,19 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, whatever the optimiser inlines."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Distinct n-grams, joined by one space; fewer than n words give none."""
-    at = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    return F.when(F.size(words) >= n, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+
+    def grams(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(w) - (n - 1))
+        return F.when(F.size(w) >= n, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+
+    return let(words, grams)
 
 
 def ascii_share(text: Column) -> Column:
@@ -58,7 +67,7 @@ def fingerprint(text: Column) -> Column:
 
 def since(introduced: Column, floor: str) -> Column:
     """Whether the day in the first ten characters is on or after the floor; null or no day: false."""
-    return F.coalesce(F.try_to_date(F.substring(introduced, 1, 10), F.lit("yyyy-MM-dd")) >= F.to_date(F.lit(floor)), F.lit(False))
+    return F.coalesce(F.try_to_date(F.substring(introduced, 1, 10), "yyyy-MM-dd") >= F.to_date(F.lit(floor)), F.lit(False))
 
 
 def row_id(repo: Column, path: Column, function: Column) -> Column:

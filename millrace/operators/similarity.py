@@ -83,7 +83,7 @@ def cosine_bands(left: DataFrame, right: DataFrame, hard: float, review: float,
     blocks, chunks = (max(1, -(-side.count() // block)) for side in (right, left))
     numbered = right.select(F.col("id").alias("ref"), "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("g"))
     packed = numbered.groupBy("g").agg(F.collect_list(F.struct("ref", "v")).alias("refs"))
-    rows = left.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("g")).groupBy("g", F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("h")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    rows = left.select("id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("g")).groupBy("g", F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("h")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
 
     def run(source: Iterator[pa.RecordBatch]):
         for batch in source:
