@@ -17,7 +17,7 @@ from millrace.llm.simhash import near_duplicates
 from millrace.llm.substring_dedup import GRAM, WIDTH, automaton_matcher
 
 #: The least mean probability of the predicted language with which a document stays.
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def _key(column: str = "doc_id"):
