@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import builtins
 import copy
+import difflib
 import hashlib
 import re
 import types
@@ -486,6 +487,17 @@ def mutants(source: str | None, categories: tuple[str, ...] = CATEGORIES) -> lis
     return sorted(out, key=lambda m: (m["line"], m["column"]))
 
 
+def change_summary(source: str, changed: str) -> str:
+    """Removed and added lines of a change, both sides as unparsed, without context."""
+    sides = [ast.unparse(ast.parse(s)).splitlines() for s in (source, changed)]
+    return "\n".join(x for x in difflib.unified_diff(*sides, n=0, lineterm="") if x[:2] not in ("--", "++", "@@"))
+
+
+def smallest_change(source: str, found: list[dict]) -> str | None:
+    """The shortest summary among mutants, the first of equals; None without any."""
+    return min((change_summary(source, m["source"]) for m in found), key=len, default=None)
+
+
 # Spark forms
 
 MUTANT_DDL = "mutant string, category string, line int, column int, description string, source string, equivalent boolean"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,6 +14,8 @@ from millrace.functions import code, numeric, text
 from millrace.operators import compare, curate, score, similarity, split
 from millrace.operators.graph import connected_components
 from millrace.plans import fixtures
+from millrace.plans.scratch import scratch_path, ship
+from millrace.streaming import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,7 +25,12 @@ def query(sql: str | None = None):
     """Register a function under its name, with its SQL if there is one."""
 
     def add(function):
-        QUERIES[function.__name__] = function
+        @wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[function.__name__] = run
         if sql is not None:
             ORACLE_SQL[function.__name__] = sql
         return function
@@ -286,9 +294,6 @@ def arm_last_wins(spark, sf_dir):
     return _arms(spark, sf_dir).select("arm", "id", "event_id", "value")
 
 
-_TEST_ARRAY = "list({'name': 't' || (event_id % 5), 'outcome': CASE WHEN value > 20 THEN 'passed' ELSE 'failed' END} ORDER BY event_id)"
-
-
 def _runs(spark, sf_dir):
     """Runs from events: a user and an hour make a mutant, or the reference at hour 0; the events are its tests."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), (F.col("event_id") % 6).alias("h"), "event_id", "value")
@@ -463,8 +468,7 @@ def coverage_by_stratum(spark, sf_dir):
     return score.coverage(c, strata, F.col("valid_before") & (F.col("kills") > 5), F.col("valid") & (F.col("kills") > 6))
 
 
-@query("""WITH p AS (SELECT user_id AS id, max(event_id) AS last, any_value(event_type ORDER BY event_id DESC) AS arm FROM events GROUP BY user_id)
-SELECT event_type AS key, round(100 * sum(value) / sum(sum(value)) OVER (), 6) AS share FROM events GROUP BY event_type""")
+@query("""SELECT event_type AS key, round(100 * sum(value) / sum(sum(value)) OVER (), 6) AS share FROM events GROUP BY event_type""")
 def percent_shares(spark, sf_dir):
     """Each arm's share of the total value, in percent."""
     sums = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("key")).agg(F.sum("value").alias("v"))
@@ -550,8 +554,7 @@ def html_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.length(F.regexp_replace("html", r"(?s)^.*?</head>\s*", "")).cast("long").alias("body_chars"))
 
 
-@query(r"""WITH r AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'see ```python' || chr(10) || text || '``` done' WHEN 1 THEN '<think>hm</think> ```' || chr(10) || text WHEN 2 THEN 'hm</think>' || chr(10) || text ELSE text END AS reply FROM conversations)
-SELECT conv_id, turn, CASE WHEN conv_id % 4 = 1 THEN text ELSE text END AS code, conv_id % 4 = 1 AS truncated FROM conversations""")
+@query("SELECT conv_id, turn, text AS code, conv_id % 4 = 1 AS truncated FROM conversations")
 def reply_extract(spark, sf_dir):
     """Code of replies: fenced, cut off, behind a thinking block, or bare."""
     c, q = table(spark, sf_dir, "conversations"), F.col("conv_id") % 4
@@ -606,9 +609,6 @@ def failure_buckets(spark, sf_dir):
 @query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_dedup(spark, sf_dir):
     """The first event of each user, through a stream that ends when all is read."""
-    from millrace.plans.scratch import scratch_path
-    from millrace.streaming import logs
-
     schema = table(spark, sf_dir, "events").schema
     new = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = scratch_path(spark, "stream")
@@ -620,8 +620,6 @@ def stream_dedup(spark, sf_dir):
 @query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id < 200)")
 def stream_resume(spark, sf_dir):
     """Rows whose key earlier output doesn't have."""
-    from millrace.streaming import logs
-
     e = table(spark, sf_dir, "events").select("event_id", "user_id")
     return logs.resume(e, e.where("event_id < 200"), "user_id").select("event_id")
 
@@ -629,14 +627,12 @@ def stream_resume(spark, sf_dir):
 @query("""SELECT user_id AS id, max(event_id) AS event_id, count(*) AS n FROM events GROUP BY user_id""")
 def running_counters(spark, sf_dir):
     """Counters by key with the last row, upserted over an older state."""
-    from millrace.streaming import logs
-
     e = table(spark, sf_dir, "events")
     state = lambda df: df.groupBy(F.col("user_id").alias("id")).agg(F.max("event_id").alias("event_id"), F.count("*").alias("n"))
     return logs.upsert(state(e.where("event_id < 500")), state(e), "id")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, 100 + c_custkey % 40 AS b FROM customer WHERE c_custkey % 3 = 0), arcs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS a, 100 + c_custkey % 40 AS b FROM customer WHERE c_custkey % 3 = 0), arcs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT a AS node, a AS r FROM arcs UNION SELECT node, b FROM reach JOIN arcs ON arcs.a = r) SELECT node, min(r) AS component FROM reach GROUP BY node""")
 def components(spark, sf_dir):
     """Connected components of a small graph."""

@@ -124,3 +124,10 @@ def test_spark_forms(spark):
     assert {(r.id, r.function) for r in code.function_rows(rows).collect() if r.reason == "syntax error"} == {(2, "<module>"), (3, "<module>")}
     out = rows.select("id", code.udf_ast_hash()("source").alias("h"), code.udf_styles()("source").alias("s"), code.udf_budget(1)("source").alias("b"), code.udf_imports()("source").alias("i")).orderBy("id").collect()
     assert out[0].h == code.ast_hash(SRC) and out[1].h is None and list(out[0].i) == ["math", "os"] and out[0].s.other == 0
+
+
+def test_change_summary():
+    src = "def f(a):\n    # note\n    return a < 1\n"
+    assert code.change_summary(src, "def f(a):\n    return a <= 1\n") == "-    return a < 1\n+    return a <= 1"
+    assert code.smallest_change(src, code.mutants(src)) == "-    return a < 1\n+    return None" or len(code.smallest_change(src, code.mutants(src))) <= 35
+    assert code.smallest_change(src, []) is None
