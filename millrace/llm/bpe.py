@@ -8,13 +8,14 @@ import json
 import sys
 import unicodedata
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import keyed_text, outer_id, ship
+from millrace.llm.common import keyed_text, outer_id, ship, utf8, word_bounds
 
 #: White space as Unicode's property has it; Python's str.split also takes 1C to 1F.
 SPACE = "\\u0009-\\u000d\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -27,8 +28,10 @@ LOWER = {c: c + 1 for c in (0x1C89, 0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA)} | {
 LOWER |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 _SPLIT = regex.compile(f"[{SPACE}]+")
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Text bytes whose new words are encoded together, and words that a worker remembers.
-BLOCK, REMEMBERED = 2 << 20, 240_000
+#: Text bytes whose new words are encoded together; words and stretches that a worker remembers.
+BLOCK, WORDS, STRETCHES = 2 << 20, 200_000, 100_000
+#: Marks that are one token behind a word of letters, whatever the word.
+STOPS = frozenset(".,;:!?")
 
 
 def default_path() -> str:
@@ -95,6 +98,7 @@ class PairIndexBPE:
     """Encoder and decoder for a vocabulary file of byte-level BPE with word ends."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -122,9 +126,27 @@ class PairIndexBPE:
 
     def normal(self, text: str) -> str:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).translate(LOWER)
+            text = unicodedata.normalize("NFC", text)
+            if "Σ" in text or max(text) >= "\u0530":
+                text = text.translate(LOWER)
         return text.lower()
 
+    def words_of(self, stretch: str) -> list:
+        """Words of a stretch without white space as the vocabulary splits it; a special token is its id."""
+        if stretch.isascii():
+            if stretch.isalpha():
+                return [stretch.lower()]
+            if stretch[-1] in STOPS and stretch[:-1].isalpha():
+                return [stretch[:-1].lower(), stretch[-1]]
+        out = []
+        for part in self.parts.split(stretch) if "<" in stretch else (stretch,):
+            if part in self.special:
+                out.append(self.special[part])
+            elif part:
+                norm = self.normal(part)
+                out += self.near_words.findall(norm) if max(norm) < "\u0530" else self.far_words.findall(norm)
+        return out
+
     def merged(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word: all words are one sequence whose pairs are indexed by rank.
 
@@ -208,21 +230,10 @@ class PairIndexBPE:
 
     def encode_stretches(self, stretches: list[str]) -> list[list[int]]:
         """Ids of texts without white space; words that recur are merged once."""
-        plans: list[list] = []
-        index: dict[str, int] = {}
-        special, near, far = self.special, self.near_words.findall, self.far_words.findall
-        for s in stretches:
-            plan = []
-            for part in self.parts.split(s) if "<" in s else (s,):
-                if part in special:
-                    plan.append(-1 - special[part])
-                elif part:
-                    norm = self.normal(part)
-                    for w in near(norm) if max(norm) < "\u0530" else far(norm):
-                        plan.append(index.setdefault(w, len(index)))
-            plans.append(plan)
+        plans = [self.words_of(s) for s in stretches]
+        index = {w: i for i, w in enumerate({w for plan in plans for w in plan if isinstance(w, str)})}
         ids = self.merged([w.encode() for w in index])
-        return [[t for k in plan for t in (ids[k] if k >= 0 else (-1 - k,))] for plan in plans]
+        return [[t for w in plan for t in (ids[index[w]] if isinstance(w, str) else (w,))] for plan in plans]
 
     def encode(self, text: str) -> list[int]:
         return [t for ids in self.encode_stretches(spaced(text)) for t in ids]
@@ -232,30 +243,81 @@ class PairIndexBPE:
         return " ".join([self.pieces[i] for i in ids])
 
 
-_loaded: dict[tuple, tuple] = {}
+@dataclass
+class Worker:
+    """A vocabulary with what a Python worker remembers of it.
+
+    `encode` gives the values of new words, `join` the value of a stretch from
+    those of its words, `special` that of a special token.
+    """
 
+    bpe: PairIndexBPE
+    encode: Callable[[list[str]], list]
+    join: Callable[[list], object]
+    special: Callable[[int], object]
+    n_words: int = WORDS
 
-def worker_state(kind: str, path: str, make: Callable) -> tuple:
-    """An encoder and its memory, kept while the Python worker lives."""
-    if (kind, path) not in _loaded:
-        _loaded[kind, path] = (make(path), Memory(REMEMBERED))
-    return _loaded[kind, path]
+    def __post_init__(self):
+        self.words, self.stretches = Memory(self.n_words), Memory(STRETCHES)
 
+    def blocks(self, texts: pa.Array) -> Iterable[tuple[np.ndarray, np.ndarray, list]]:
+        """(index, cuts, values) for blocks of texts: text k is values[i] for i in index[cuts[k] : cuts[k + 1]].
 
-def remembered(texts: list[str], memory: Memory, encode: Callable[[list[str]], list]) -> Iterable[tuple[list[str], dict]]:
-    """(stretches, values) for each text, with the new stretches of a block of texts encoded together."""
-    at = 0
-    while at < len(texts):
-        size, block = 0, []
-        while at < len(texts) and (not block or size < BLOCK):
-            block.append(spaced(texts[at] or ""))
-            size += len(texts[at] or "")
-            at += 1
-        memory.turn()
-        new = memory.missing(set().union(*block))
-        memory.young.update(zip(new, encode(new)))
-        for stretches in block:
-            yield stretches, memory.young
+        Stretches between ASCII white space are numbered by Arrow, so Python sees
+        each distinct one of a block once; new words are encoded together. Other
+        white space within a stretch is no part of any word.
+        """
+        raw, offsets = utf8(texts)
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+            index, cuts, names = stretches(raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+            self.words.turn()
+            self.stretches.turn()
+            new = self.stretches.missing(names)
+            plans = [self.bpe.words_of(s) for s in new]
+            fresh = self.words.missing({w for plan in plans for w in plan if isinstance(w, str)})
+            self.words.young.update(zip(fresh, self.encode(fresh)))
+            known = self.words.young
+            self.stretches.young.update(zip(new, [known[plan[0]] if len(plan) == 1 and isinstance(plan[0], str) else self.join([known[w] if isinstance(w, str) else self.special(w) for w in plan]) for plan in plans]))
+            known = self.stretches.young
+            yield index, cuts, [known[s] for s in names]
+            at = end
+
+
+def stretches(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Number of each stretch of non-white bytes, the first stretch of each text (n + 1), and the distinct stretches."""
+    starts, ends, cuts = word_bounds(raw, offsets)
+    if not len(starts):
+        return np.zeros(0, np.int32), cuts, []
+    edges = np.empty(2 * len(starts) + 1, np.int32)  # stretch, gap, stretch, gap, ...
+    edges[:-1:2], edges[1::2], edges[-1] = starts, ends, len(raw)
+    pieces = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(raw))])
+    coded = pieces.dictionary_encode()
+    index, first = np.unique(coded.indices.to_numpy()[::2], return_inverse=True)
+    return first.astype(np.int32), cuts, coded.dictionary.take(pa.array(index)).cast(pa.string()).to_pylist()
+
+
+_workers: dict[tuple[str, str], Worker] = {}
+
+
+def worker(kind: str, path: str, make: Callable[[PairIndexBPE], Worker]) -> Worker:
+    """Kept while the Python worker lives."""
+    if (kind, path) not in _workers:
+        _workers[kind, path] = make(PairIndexBPE(path))
+    return _workers[kind, path]
+
+
+def digest_worker(bpe: PairIndexBPE) -> Worker:
+    """Values are (decimal ids, decoded text)."""
+    show = lambda ids: (" ".join(map(str, ids)), bpe.decode(ids))
+    return Worker(bpe, lambda words: [show(ids) for ids in bpe.merged([w.encode() for w in words])], lambda pairs: (" ".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])), lambda i: show([i]))
+
+
+def array_worker(bpe: PairIndexBPE) -> Worker:
+    """Values are (ids as 32-bit integers, decoded text)."""
+    show = lambda ids: (np.array(ids, "<i4").tobytes(), bpe.decode(ids))
+    return Worker(bpe, lambda words: [show(ids) for ids in bpe.merged([w.encode() for w in words])], lambda pairs: (b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])), lambda i: show([i]))
 
 
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,20 +333,20 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     ship(docs.sparkSession)
 
     def run(source):
-        bpe, memory = worker_state("pairs", path, PairIndexBPE)
-
-        def values(new: list[str]) -> list[tuple[str, str]]:
-            return [(" ".join(map(str, ids)), bpe.decode(ids)) for ids in bpe.encode_stretches(new)]
-
+        state = worker("digests", path, digest_worker)
         for batch in source:
-            n, a, b = [], [], []
-            for stretches, known in remembered(batch.column("text").to_pylist(), memory, values):
-                pairs = [known[s] for s in stretches]
-                ids = " ".join([p[0] for p in pairs if p[0]])
-                n.append(ids.count(" ") + 1 if ids else 0)
-                a.append(hashlib.sha256(ids.encode()).hexdigest())
-                b.append(hashlib.sha256(" ".join([p[1] for p in pairs if p[0]]).encode()).hexdigest())
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
+            done = 0
+            for index, cuts, values in state.blocks(batch.column("text")):
+                n, a, b = [], [], []
+                shown, decoded = [v[0] for v in values], [v[1] for v in values]
+                rows, at = index.tolist(), cuts.tolist()
+                for k, e in zip(at, at[1:]):
+                    ids = " ".join([shown[i] for i in rows[k:e] if shown[i]])
+                    n.append(ids.count(" ") + 1 if ids else 0)
+                    a.append(hashlib.sha256(ids.encode()).hexdigest())
+                    b.append(hashlib.sha256(" ".join([decoded[i] for i in rows[k:e] if shown[i]]).encode()).hexdigest())
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(done, len(n)), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
+                done += len(n)
 
     out = keyed_text(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.select(outer_id(id_col), "n_tokens", "ids_sha256", "decoded_sha256")
@@ -296,20 +358,20 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     ship(docs.sparkSession)
 
     def run(source):
-        bpe, memory = worker_state("ids", path, PairIndexBPE)
-
-        def values(new: list[str]) -> list[tuple[bytes, str]]:
-            return [(np.array(ids, "<i4").tobytes(), bpe.decode(ids)) for ids in bpe.encode_stretches(new)]
-
+        state = worker("arrays", path, array_worker)
         for batch in source:
-            sizes, data, decoded = [0], [], []
-            for stretches, known in remembered(batch.column("text").to_pylist(), memory, values):
-                pairs = [known[s] for s in stretches]
-                data.append(b"".join([p[0] for p in pairs]))
-                sizes.append(len(data[-1]) // 4)
-                decoded.append(" ".join([p[1] for p in pairs if p[0]]))
-            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4")))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "ids": ids, "decoded": pa.array(decoded, pa.string())})
+            done = 0
+            for index, cuts, values in state.blocks(batch.column("text")):
+                sizes, data, decoded = [0], [], []
+                rows, at = index.tolist(), cuts.tolist()
+                for k, e in zip(at, at[1:]):
+                    pairs = [values[i] for i in rows[k:e]]
+                    data.append(b"".join([p[0] for p in pairs]))
+                    sizes.append(len(data[-1]) // 4)
+                    decoded.append(" ".join([p[1] for p in pairs if p[0]]))
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4")))
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(done, len(data)), "ids": ids, "decoded": pa.array(decoded, pa.string())})
+                done += len(data)
 
     out = keyed_text(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>, decoded string")
     return out.select(outer_id(id_col), "ids", "decoded")

@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import default_path, remembered, worker_state
+from millrace.llm.bpe import PairIndexBPE, Worker, default_path, worker
 from millrace.llm.common import keyed_text, materialize, outer_id, partitions, ship
 from millrace.plans.scratch import scratch_path
 
 #: Bits of an id on each level, bits of a bitmap that one rank entry stands for, ids in a file.
 CHUNK_BITS, RANK_BITS, FILE_TOKENS = 8, 512, 1 << 21
 END_ID = 1
+#: Words whose ids a worker remembers, about 200 bytes each.
+REMEMBERED = 500_000
 MAGIC = b"MRDAC\x00\x01\x00"
 
 
@@ -129,21 +131,33 @@ class TokenFile:
         return self.codes.range(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def library_encoder(path: str):
+def library_worker(bpe: PairIndexBPE) -> Worker:
+    """Values are ids as little-endian 32-bit integers, by the library's model on single words."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
+    words = Tokenizer(Tokenizer.from_file(bpe.path).model)
+    words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def encode(stretches: list[str]) -> list[bytes]:
+    def encode(new: list[str]) -> list[bytes]:
         found = []
-        for at in range(0, len(stretches), 4096):
-            found += [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(stretches[at : at + 4096], add_special_tokens=False)]
+        for at in range(0, len(new), 4096):
+            found += [struct.pack(f"<{len(e)}I", *e.ids) for e in words.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)]
         return found
 
-    return encode
+    return Worker(bpe, encode, b"".join, lambda i: struct.pack("<I", i), REMEMBERED)
+
+
+def gathered(index: np.ndarray, cuts: np.ndarray, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of values[i] for i in index, one after the other, and how many there are from each cut to the next."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    flat = np.frombuffer(b"".join(values), "<u4")
+    first = np.cumsum(sizes) - sizes
+    each = sizes[index]
+    total = np.cumsum(each)
+    place = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(first[index] - (total - each), each)
+    sums = np.concatenate([[0], total])
+    return flat[place], sums[cuts[1:]] - sums[cuts[:-1]]
 
 
 def write_store(docs: DataFrame, uri: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
@@ -152,8 +166,8 @@ def write_store(docs: DataFrame, uri: str, path: str | None = None, end_id: int
     Manifest: (part, nth, n_docs, n_tokens, file), in file order (part, nth). A file
     is written whole under a name of its own and then renamed, so a task that runs
     twice leaves the same files. Words recur, and neither normalisation nor splitting
-    looks across white space, so the library encodes each distinct stretch between
-    white space of a block of texts once.
+    looks across white space, so the library encodes each distinct word once while a
+    worker remembers it.
     """
     path = path or default_path()
     ship(docs.sparkSession)
@@ -162,37 +176,48 @@ def write_store(docs: DataFrame, uri: str, path: str | None = None, end_id: int
     def run(source):
         from pyarrow.fs import FileSystem
 
-        encode, memory = worker_state("library", path, library_encoder)
+        state = worker("library", path, library_worker)
         fs, root = FileSystem.from_uri(uri)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        end = np.array([end_id], "<u4").tobytes()
-        held: list[bytes] = []
-        doc_ids: list[int] = []
+        end = struct.pack("<I", end_id)
+        ids: list[np.ndarray] = []
+        doc_ids: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         size, nth = 0, 0
 
         def flush() -> dict:
-            starts = np.concatenate([[0], np.cumsum([len(h) // 4 for h in held])])
-            data = write_file(np.frombuffer(b"".join(held), "<u4"), np.array(doc_ids), starts)
+            starts = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+            docs_here = np.concatenate(doc_ids)
+            data = write_file(np.concatenate(ids), docs_here, starts)
             name = f"{root}/part-{part:07d}-{nth:05d}.dac"
             with fs.open_output_stream(f"{name}.{attempt}") as f:
                 f.write(data)
             fs.move(f"{name}.{attempt}", name)
-            return {"part": part, "nth": nth, "n_docs": len(doc_ids), "n_tokens": size, "file": name}
+            return {"part": part, "nth": nth, "n_docs": len(docs_here), "n_tokens": int(starts[-1]), "file": name}
 
         fs.create_dir(root, recursive=True)
         for batch in source:
-            rows = []
-            texts = batch.column("text").to_pylist()
-            for doc, (stretches, known) in zip(batch.column("id").to_pylist(), remembered(texts, memory, encode)):
-                held.append(b"".join([known[s] for s in stretches]) + end)
-                doc_ids.append(doc)
-                size += len(held[-1]) // 4
-                if size >= file_tokens:
-                    rows.append(flush())
-                    held, doc_ids, size, nth = [], [], 0, nth + 1
+            rows, seen = [], 0
+            names = batch.column("id").to_numpy()
+            for index, cuts, values in state.blocks(batch.column("text")):
+                tokens, n = gathered(np.insert(index, cuts[1:], len(values)), cuts + np.arange(len(cuts)), [*values, end])
+                after = np.cumsum(n)
+                at = 0
+                while at < len(n):  # cut the block where files are full
+                    before = int(after[at - 1]) if at else 0
+                    to = min(len(n), int(np.searchsorted(after, before + file_tokens - size)) + 1)
+                    ids.append(tokens[before : after[to - 1]])
+                    counts.append(n[at:to])
+                    doc_ids.append(names[seen + at : seen + to])
+                    size += int(after[to - 1]) - before
+                    at = to
+                    if size >= file_tokens:
+                        rows.append(flush())
+                        ids, doc_ids, counts, size, nth = [], [], [], 0, nth + 1
+                seen += len(n)
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, MANIFEST)
-        if held:
+        if counts:
             yield pa.RecordBatch.from_pylist([flush()], MANIFEST)
 
     ordered = keyed_text(docs, id_col, text_col).repartitionByRange(p, "id").sortWithinPartitions("id")
@@ -205,7 +230,7 @@ MANIFEST_DDL = "part int, nth int, n_docs long, n_tokens long, file string"
 
 def read_store(manifest: DataFrame, uri: str) -> DataFrame:
     """(id, start, ids array<long>) of every document: start counts the ids of all documents before it."""
-    return _read(manifest, uri, "id long, start long, ids array<long>", lambda f, k, ids: ids.astype(np.int64).tolist(), "ids", pa.list_(pa.int64()))
+    return _read(manifest, uri, "id long, start long, ids array<long>", lambda ids: ids.astype(np.int64).tolist(), "ids", pa.list_(pa.int64()))
 
 
 def _read(manifest: DataFrame, uri: str, ddl: str, value, name: str, kind: pa.DataType) -> DataFrame:
@@ -219,10 +244,12 @@ def _read(manifest: DataFrame, uri: str, ddl: str, value, name: str, kind: pa.Da
             for row in batch.to_pylist():
                 with fs.open_input_stream(row["file"]) as f:
                     t = TokenFile(f.read())
-                step = 2048
+                step = 1024
                 for at in range(0, len(t.doc_ids), step):
-                    ks = range(at, min(len(t.doc_ids), at + step))
-                    got = [value(t, k, t.document(k)) for k in ks]
+                    ends = t.starts[at : at + step + 1]
+                    ids = t.codes.range(int(ends[0]), int(ends[-1]))
+                    cut = (ends - ends[0]).tolist()
+                    got = [value(ids[a:b]) for a, b in zip(cut, cut[1:])]
                     n = np.diff(t.starts[at : at + len(got) + 1])
                     columns = {"id": pa.array(t.doc_ids[at : at + step]), "start": pa.array(row["base"] + t.starts[at : at + len(got)]), "n": pa.array(n)} | {name: pa.array(got, kind)}
                     yield pa.RecordBatch.from_pydict({c.split()[0]: columns[c.split()[0]] for c in ddl.split(", ")})
@@ -242,5 +269,5 @@ def stored_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     """
     uri = uri or scratch_path(docs.sparkSession, "tokens")
     manifest = write_store(docs, uri, path, id_col=id_col, text_col=text_col)
-    out = _read(manifest, uri, "id long, start long, n long, crc long", lambda f, k, ids: zlib.crc32(ids.astype("<u4").tobytes()), "crc", pa.int64())
+    out = _read(manifest, uri, "id long, start long, n long, crc long", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), "crc", pa.int64())
     return out.select(outer_id(id_col), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
