@@ -91,22 +91,39 @@ def tokenised(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(run, SHARES_DDL)
 
 
-def numbers(row: dict) -> np.ndarray:
-    return np.frombuffer(pa.decompress(row["tokens"], 4 * sum(row["sizes"]), "zstd"), "<i4")
+def each_share(source):
+    """The rows of batches one at a time, as arrays."""
+    for batch in source:
+        for i in range(batch.num_rows):
+            row = {}
+            for name in batch.schema.names:
+                cell = batch.column(name)[i]
+                if name == "words":
+                    row[name] = cell.values.to_pylist()
+                elif name == "totals":
+                    row[name] = tuple(cell.values.field(k).to_numpy() for k in (0, 1))
+                elif name == "tokens":
+                    row[name] = cell.as_buffer()
+                elif pa.types.is_list(cell.type):
+                    row[name] = cell.values.to_numpy(zero_copy_only=False)
+            if "tokens" in row:
+                row["tokens"] = np.frombuffer(pa.decompress(row["tokens"], 4 * int(row["sizes"].sum()), "zstd"), "<i4")
+            yield row
 
 
 def classes_of(words: list[str], common: dict[str, int]) -> np.ndarray:
     return np.array([END if w == END_WORD else common[w] if w in common else WORDS + bucket(w) for w in words], np.int64)
 
 
-def contexts(tokens: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def contexts(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the token before and of the one before that; END stands before a text."""
     first, second = np.empty_like(tokens), np.empty_like(tokens)
     first[1:], second[2:] = tokens[:-1], tokens[:-2]
-    starts = np.cumsum([0, *sizes[:-1]])
+    sizes = np.asarray(sizes, np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes[:-1])])
     first[starts] = END
     second[starts] = END
-    after = (starts + 1)[np.array(sizes) > 1]
+    after = (starts + 1)[sizes > 1]
     second[after] = END
     return first, second
 
@@ -115,14 +132,13 @@ def triples(shares: DataFrame, common: dict[str, int]) -> DataFrame:
     """(triple, n) over all training documents; a triple is three classes in one number."""
 
     def run(source):
-        for batch in source:
-            for row in batch.to_pylist():
-                c = classes_of(row["words"], common)[numbers(row)]
-                a, b = contexts(c, row["sizes"])
-                code = ((b * CLASSES + a) * CLASSES + c)[~np.repeat(np.array(row["held"]), row["sizes"])]
-                if len(code):
-                    value, n = np.unique(code, return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"triple": pa.array(value.astype(np.int32)), "n": pa.array(n)})
+        for row in each_share(source):
+            c = classes_of(row["words"], common)[row["tokens"]]
+            a, b = contexts(c, row["sizes"])
+            code = ((b * CLASSES + a) * CLASSES + c)[~np.repeat(row["held"], row["sizes"])]
+            if len(code):
+                value, n = np.unique(code, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"triple": pa.array(value.astype(np.int32)), "n": pa.array(n)})
 
     return shares.select("sizes", "held", "words", "tokens").mapInArrow(run, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n"))
 
@@ -184,6 +200,22 @@ def train(codes: np.ndarray, counts: np.ndarray, classes: int = CLASSES, seed: i
     return net
 
 
+def class_scores(net: LogBilinear | None, c: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 probability of each class in its place; the distinct contexts of a share are scored in blocks."""
+    if net is None:
+        return np.full(len(c), -np.log10(CLASSES))
+    a, b = contexts(c, sizes)
+    pairs, which = np.unique(b * CLASSES + a, return_inverse=True)
+    out = np.empty(len(c))
+    order, step = np.argsort(which, kind="stable"), 4096
+    cut = np.searchsorted(which[order], np.arange(0, len(pairs) + step, step))
+    for k in range(0, len(pairs), step):
+        rows = order[cut[k // step] : cut[k // step + 1]]
+        table = net.log10_probabilities(pairs[k : k + step] % CLASSES, pairs[k : k + step] // CLASSES)
+        out[rows] = table[which[rows] - k, c[rows]]
+    return out
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each whole text.
 
@@ -215,41 +247,26 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     net = train(found["triple"].to_numpy(), found["n"].to_numpy()) if found.num_rows else None
 
     def run(source):
-        for batch in source:
-            for row in batch.to_pylist():
-                tokens = numbers(row)
-                counts = np.zeros(len(row["words"]), np.int64)
-                known = row["totals"]
-                counts[np.fromiter((k["at"] for k in known), np.int64, len(known))] = np.fromiter((k["total"] for k in known), np.int64, len(known))
-                base = np.log10((counts + 1) / (n_all + v_all + 1))
-                kinds = classes_of(row["words"], common)
-                rare = (kinds >= WORDS) & (kinds < END)
-                share = np.where(rare, np.log10((counts + 1) / (within_n[kinds] + within_v[kinds] + 1)), 0.0)
-                starts = np.cumsum([0, *row["sizes"][:-1]])
-                c = kinds[tokens]
-                if net is None:
-                    model = np.full(len(c), -np.log10(CLASSES))
-                else:
-                    a, b = contexts(c, row["sizes"])
-                    pairs, which = np.unique(b * CLASSES + a, return_inverse=True)
-                    model = np.empty(len(c))
-                    order = np.argsort(which, kind="stable")
-                    cut = np.searchsorted(which[order], np.arange(0, len(pairs) + 4096, 4096))
-                    for k in range(0, len(pairs), 4096):
-                        rows = order[cut[k // 4096] : cut[k // 4096 + 1]]
-                        table = net.log10_probabilities(pairs[k : k + 4096] % CLASSES, pairs[k : k + 4096] // CLASSES)
-                        model[rows] = table[which[rows] - k, c[rows]]
-                add = lambda x: np.add.reduceat(x, starts)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "id": pa.array(row["ids"], pa.int64()),
-                        "held_out": pa.array(row["held"], pa.bool_()),
-                        "n_tokens": pa.array(row["sizes"], pa.int64()),
-                        "n_known": pa.array(add((counts > 0).astype(np.int64)[tokens])),
-                        "base_score": pa.array(add(base[tokens])),
-                        "score": pa.array(add(model + share[tokens])),
-                    }
-                )
+        for row in each_share(source):
+            tokens, kinds = row["tokens"], classes_of(row.pop("words"), common)
+            counts = np.zeros(len(kinds), np.int64)
+            counts[row["totals"][0]] = row["totals"][1]
+            base = np.log10((counts + 1) / (n_all + v_all + 1))
+            rare = (kinds >= WORDS) & (kinds < END)
+            share = np.where(rare, np.log10((counts + 1) / (within_n[kinds] + within_v[kinds] + 1)), 0.0)
+            starts = np.concatenate([[0], np.cumsum(row["sizes"][:-1], dtype=np.int64)])
+            c = kinds[tokens]
+            add = lambda x: np.add.reduceat(x, starts)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "id": pa.array(row["ids"], pa.int64()),
+                    "held_out": pa.array(row["held"], pa.bool_()),
+                    "n_tokens": pa.array(row["sizes"].astype(np.int64)),
+                    "n_known": pa.array(add((counts > 0).astype(np.int64)[tokens])),
+                    "base_score": pa.array(add(base[tokens])),
+                    "score": pa.array(add(class_scores(net, c, row["sizes"]) + share[tokens])),
+                }
+            )
 
     back = totals.repartition(p, "g").groupBy("g").agg(F.collect_list(F.struct("at", "total")).alias("totals"))
     out = back.join(shares.repartition(p, "g").drop("counts"), "g").mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
