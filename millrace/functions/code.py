@@ -29,7 +29,8 @@ CATEGORIES = ("assign", "bitwise", "boolean", "boundary", "compare", "decorator"
 PROBE = "arith"
 TRAINING_CATEGORIES = tuple(c for c in CATEGORIES if c != PROBE)
 INACTIVE = ("call", "lambda")
-STYLE_NAMES = ("literal_eq", "approx", "relational", "membership", "expr_eq", "other")
+STYLE_NAMES = tuple("literal_eq approx relational membership expr_eq other".split())
+IMPORTS_PYTEST = re.compile(r"(?m)^\s*import pytest\b")
 
 
 def parsed(source: str | None) -> ast.Module | None:
@@ -46,10 +47,11 @@ class _Skeleton(ast.NodeTransformer):
     """Names become slots in order of first visit, constants their types; annotations, decorators and docstrings go."""
 
     def __init__(self):
-        self.slots: dict[str, str] = {}
+        self.places: dict[str, int] = {}
 
     def slot(self, name: str) -> str:
-        return self.slots.setdefault(name, f"v{len(self.slots)}")
+        place = self.places.setdefault(name, len(self.places))
+        return f"v{place}"
 
     def visit_Name(self, node):
         node.id = self.slot(node.id)
@@ -71,9 +73,9 @@ class _Skeleton(ast.NodeTransformer):
     def visit_FunctionDef(self, node):
         node.name = self.slot(node.name)
         node.returns, node.decorator_list = None, []
-        head = node.body[0]
-        if isinstance(head, ast.Expr) and isinstance(head.value, ast.Constant):
-            node.body = node.body[1:] or [ast.Pass()]
+        match node.body:
+            case [ast.Expr(value=ast.Constant()), *rest]:
+                node.body = rest if rest else [ast.Pass()]
         self.generic_visit(node)
         return node
 
@@ -101,15 +103,18 @@ def ast_shingles(source: str | None, k: int = 5) -> list[str] | None:
 # purity
 
 
-def _imported(tree: ast.Module) -> dict[str, tuple[str, ast.stmt]]:
-    names = {}
-    for node in tree.body:
-        if isinstance(node, ast.Import):
-            for a in node.names:
-                names[(a.asname or a.name).partition(".")[0]] = a.name.partition(".")[0], node
-        elif isinstance(node, ast.ImportFrom) and not node.level and node.module:
-            for a in node.names:
-                names[a.asname or a.name] = node.module.partition(".")[0], node
+Imports = dict[str, tuple[str, ast.stmt]]
+
+
+def _imported(tree: ast.Module) -> Imports:
+    """Name bound at the top of a module: its top package, and the statement that binds it."""
+    names: Imports = {}
+    for statement in tree.body:
+        match statement:
+            case ast.Import(names=aliases):
+                names |= {(a.asname or a.name).partition(".")[0]: (a.name.partition(".")[0], statement) for a in aliases}
+            case ast.ImportFrom(module=str(module), names=aliases, level=0):
+                names |= {a.asname or a.name: (module.partition(".")[0], statement) for a in aliases}
     return names
 
 
@@ -130,7 +135,7 @@ def _own_names(function: ast.FunctionDef) -> set[str]:
     return own
 
 
-def impurity(function: ast.FunctionDef, imports: dict[str, tuple[str, ast.stmt]]) -> str | None:
+def impurity(function: ast.FunctionDef, imports: Imports) -> str | None:
     """Why a function isn't self-contained and pure: the first reason in walking order, or None."""
     if not ast.get_docstring(function):
         return "no docstring"
@@ -172,14 +177,12 @@ def functions_of(source: str | None) -> list[Function]:
     if tree is None:
         return [Function("<module>", "syntax error", None, None, 0, 0)]
     imports, out = _imported(tree), []
-    for node in tree.body:
-        if not isinstance(node, ast.FunctionDef):
-            continue
+    for node in (n for n in tree.body if isinstance(n, ast.FunctionDef)):
         reason = impurity(node, imports)
         text = None
         if reason is None:
-            used = {n.id for n in ast.walk(node) if isinstance(n, ast.Name)}
-            needed = sorted({ast.unparse(statement) for name, (_, statement) in imports.items() if name in used})
+            names = {getattr(n, "id", None) for n in ast.walk(node)}
+            needed = sorted({ast.unparse(statement) for name, (_, statement) in imports.items() if name in names})
             body = (ast.get_source_segment(source, node) or ast.unparse(node)) + "\n"
             text = "\n".join(needed) + "\n\n\n" + body if needed else body
         out.append(Function(node.name, reason, text, ast.get_docstring(node), node.lineno, node.end_lineno or node.lineno))
@@ -200,13 +203,14 @@ def imported_modules(source: str | None) -> list[str] | None:
     tree = parsed(source)
     if tree is None:
         return None
-    found = set()
+    full: set[str] = set()
     for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            found |= {a.name.partition(".")[0] for a in node.names}
-        elif isinstance(node, ast.ImportFrom):
-            found.add((node.module or "").partition(".")[0])
-    return sorted(found)
+        match node:
+            case ast.Import(names=aliases):
+                full.update(a.name for a in aliases)
+            case ast.ImportFrom(module=module):
+                full.add(module or "")
+    return sorted({name.partition(".")[0] for name in full})
 
 
 # suites
@@ -214,12 +218,11 @@ def imported_modules(source: str | None) -> list[str] | None:
 
 def trimmed(source: str) -> str | None:
     """Source without the last lines that keep it from parsing."""
-    lines = source.rstrip("\n").split("\n")
-    while lines:
-        text = "\n".join(lines) + "\n"
+    lines = source.rstrip("\n").splitlines()
+    for n in range(len(lines), 0, -1):
+        text = "".join(f"{line}\n" for line in lines[:n])
         if parsed(text) is not None:
             return text
-        lines.pop()
     return None
 
 
@@ -228,7 +231,7 @@ def suite_of(code: str | None) -> dict | None:
     text = trimmed((code or "").strip() + "\n") if code is not None else None
     if text is None:
         return None
-    missing = "pytest." in text and not re.search(r"^\s*import pytest\b", text, re.MULTILINE)
+    missing = "pytest." in text and IMPORTS_PYTEST.search(text) is None
     return {"suite": "import pytest\n" + text if missing else text, "pytest_import": missing}
 
 
@@ -239,11 +242,10 @@ def within_budget(suite: str | None, most: int) -> dict | None:
         return None
     n, kept = 0, []
     for node in tree.body:
-        if isinstance(node, ast.FunctionDef) and node.name.startswith("test"):
-            n += 1
-            if n > most:
-                continue
-        kept.append(node)
+        name = node.name if isinstance(node, ast.FunctionDef) else ""
+        n += name[:4] == "test"
+        if name[:4] != "test" or n <= most:
+            kept.append(node)
     return {"suite": ast.unparse(ast.Module(kept, [])) + "\n", "n_tests": n}
 
 
@@ -256,8 +258,10 @@ def is_literal(node: ast.AST) -> bool:
 
 
 def _comparison(node: ast.Assert) -> tuple[ast.cmpop, ast.expr] | None:
-    t = node.test
-    return (t.ops[0], t.comparators[0]) if isinstance(t, ast.Compare) and len(t.ops) == 1 else None
+    match node.test:
+        case ast.Compare(ops=[op], comparators=[right]):
+            return op, right
+    return None
 
 
 def assertion_styles(suite: str | None) -> dict[str, int] | None:
@@ -283,10 +287,11 @@ def assertion_styles(suite: str | None) -> dict[str, int] | None:
 
 def assert_shapes(function: ast.AST) -> set[str]:
     """Forms of the asserts in a test, and `raises` for an expected exception."""
-    found = set()
+    found: set[str] = set()
     for node in ast.walk(function):
-        if isinstance(node, ast.With) and any("raises" in ast.unparse(i.context_expr) for i in node.items):
-            found.add("raises")
+        if isinstance(node, ast.With):
+            entered = " ".join(ast.unparse(item.context_expr) for item in node.items)
+            found |= {"raises"} if "raises" in entered else set()
         if not isinstance(node, ast.Assert):
             continue
         pair = _comparison(node)
@@ -417,18 +422,19 @@ def edits(node: ast.AST, docstring: bool) -> Iterator[Edit]:
                 yield "assign", "to_none", _put(value=lambda: ast.Constant(None)), "value -> None"
         case ast.For():
             yield "loop", "zero_iter", _put(iter=lambda: ast.List([], ast.Load())), "iterate over nothing"
-        case ast.Break() | ast.Continue():
-            new = ast.Continue if isinstance(node, ast.Break) else ast.Break
-            yield "loop", type(node).__name__.lower(), _become(new), f"{type(node).__name__} -> {new.__name__}"
+        case ast.Break():
+            yield "loop", "break", _become(ast.Continue), "Break -> Continue"
+        case ast.Continue():
+            yield "loop", "continue", _become(ast.Break), "Continue -> Break"
         case ast.Call():
             if isinstance(node.func, ast.Attribute) and (new := _METHODS.get(node.func.attr)):
                 old = node.func.attr
-                limited = len(node.args) == 2 or any(k.arg == "maxsplit" for k in node.keywords)
+                limited = "maxsplit" in [k.arg for k in node.keywords] or len(node.args) == 2
                 if limited or not old.endswith("split"):
                     yield "string", f"{old}_to_{new}", _method(new), f".{old} -> .{new}"
-            for i, arg in enumerate(node.args):
-                if not (isinstance(arg, ast.Constant) and arg.value is None):
-                    yield "call", f"arg{i}_none", _argument(i), f"argument {i} -> None"
+            given = [i for i, value in enumerate(node.args) if ast.dump(value) != ast.dump(ast.Constant(None))]
+            for i in given:
+                yield "call", f"arg{i}_none", _argument(i), f"argument {i} -> None"
             for i, k in enumerate(node.keywords):
                 if k.arg is not None:
                     yield "call", f"kw{i}_xx", _renamed(i), f"keyword {k.arg} renamed"
@@ -450,10 +456,11 @@ def edits(node: ast.AST, docstring: bool) -> Iterator[Edit]:
 def _docstrings(tree: ast.AST) -> set[int]:
     found = set()
     for node in ast.walk(tree):
-        if isinstance(node, ast.Module | ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef) and node.body:
-            head = node.body[0]
-            if isinstance(head, ast.Expr) and isinstance(head.value, ast.Constant) and isinstance(head.value.value, str):
-                found.add(id(head.value))
+        match node:
+            case (ast.Module() | ast.ClassDef() | ast.FunctionDef() | ast.AsyncFunctionDef()) as owner:
+                match owner.body:
+                    case [ast.Expr(value=ast.Constant(value=str()) as text), *_]:
+                        found.add(id(text))
     return found
 
 

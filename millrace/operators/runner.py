@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import ast
+import contextlib
 import json
 import os
 import resource
 import subprocess
 import sys
 import tempfile
-import xml.etree.ElementTree as ET
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ from millrace.functions.code import is_literal, parsed
 
 TIMEOUT, MEMORY, MESSAGE = 10.0, 1 << 30, 500
 RECORDS = "recorded.json"
+COUNTERS = tuple("sites recorded replaced already_correct too_long unliteral".split())
 RUN_DDL = "status string, tests array<struct<name string, outcome string, message string>>, seconds double"
 
 
@@ -53,7 +55,7 @@ def _limits() -> None:
 
 def _cases(report: Path) -> list[dict]:
     out = []
-    for case in ET.parse(report).iter("testcase"):
+    for case in ElementTree.parse(report).getroot().iter("testcase"):
         bad = next((c for c in case if c.tag in ("failure", "error")), None)
         outcome = "passed" if bad is None else "failed" if bad.tag == "failure" else "error"
         out.append({"name": case.get("name", ""), "outcome": outcome, "message": "" if bad is None else (bad.get("message") or "")[:MESSAGE]})
@@ -117,7 +119,10 @@ def run_rows(rows: DataFrame, allow: bool = False) -> DataFrame:
 
 def is_site(node: ast.AST) -> bool:
     """`assert <expression> == <literal>`, nothing chained."""
-    return isinstance(node, ast.Assert) and isinstance(node.test, ast.Compare) and len(node.test.ops) == 1 and isinstance(node.test.ops[0], ast.Eq) and is_literal(node.test.comparators[0])
+    match node:
+        case ast.Assert(test=ast.Compare(ops=[ast.Eq()], comparators=[right])):
+            return is_literal(right)
+    return False
 
 
 class _Sites(ast.NodeTransformer):
@@ -152,11 +157,11 @@ def instrumented(suite: str) -> str:
     return _RECORDER + ast.unparse(ast.fix_missing_locations(tree)) + "\n"
 
 
-def _equal(a, b) -> bool:
-    try:
-        return bool(a == b)
-    except Exception:
-        return False
+def _equal(value, literal) -> bool:
+    """Equality as the interpreter has it; what can't be compared differs."""
+    with contextlib.suppress(Exception):
+        return bool(value == literal)
+    return False
 
 
 def filled(suite: str, values: dict[int, str], most_chars: int | None = 40) -> tuple[str, dict]:
@@ -165,7 +170,7 @@ def filled(suite: str, values: dict[int, str], most_chars: int | None = 40) -> t
     A value equal to the literal stays, `True == 1` too. Values that are no
     literal, or whose text is longer than `most_chars`, aren't written.
     """
-    stats = dict.fromkeys(("sites", "recorded", "replaced", "already_correct", "too_long", "unliteral"), 0) | {"repr_lengths": []}
+    stats = {name: 0 for name in COUNTERS} | {"repr_lengths": []}
 
     def replace(i: int, node: ast.Assert) -> ast.Assert:
         stats["sites"] += 1
@@ -176,7 +181,7 @@ def filled(suite: str, values: dict[int, str], most_chars: int | None = 40) -> t
         value = tree.body[0].value if tree is not None and len(tree.body) == 1 and isinstance(tree.body[0], ast.Expr) else None
         if value is None or not is_literal(value):
             stats["unliteral"] += 1
-        elif _equal(ast.literal_eval(value), ast.literal_eval(node.test.comparators[0])):
+        elif _equal(*map(ast.literal_eval, (value, node.test.comparators[0]))):
             stats["already_correct"] += 1
         elif most_chars is not None and len(values[i]) > most_chars:
             stats["too_long"] += 1
@@ -193,5 +198,5 @@ def filled(suite: str, values: dict[int, str], most_chars: int | None = 40) -> t
 def repair(suite: str, source: str, allow: bool = False, most_chars: int | None = 40) -> tuple[str, dict]:
     """Record on the reference, then fill. Whether the filled suite is valid takes a run of its own."""
     run = run_suite(instrumented(suite), source, allow, collect=(RECORDS,))
-    values = {int(k): v for k, v in json.loads(run.files[RECORDS]).items()} if RECORDS in run.files else {}
-    return filled(suite, values, most_chars)
+    recorded = json.loads(run.files.get(RECORDS, "{}"))
+    return filled(suite, dict(zip(map(int, recorded), recorded.values())), most_chars)

@@ -112,7 +112,7 @@ def condition_table(records: DataFrame) -> DataFrame:
 
 def oracle_roll_up(candidates: DataFrame) -> DataFrame:
     """One row: sums of the repair counters, and all lengths of written values in order."""
-    sums = [F.coalesce(F.sum(f"oracle.{c}"), F.lit(0)).cast("long").alias(c) for c in ("sites", "recorded", "replaced", "already_correct", "too_long", "unliteral")]
+    sums = [F.coalesce(F.sum(f"oracle.{c}"), F.lit(0)).cast("long").alias(c) for c in "sites recorded replaced already_correct too_long unliteral".split()]
     return candidates.agg(*sums, F.array_sort(F.flatten(F.collect_list("oracle.repr_lengths"))).alias("repr_lengths"))
 
 

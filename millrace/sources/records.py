@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import subprocess
 from datetime import UTC, datetime
 from pathlib import Path
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POOL = "id string, function string, repo string, licence string, path string, head_sha string, introduced_sha string, introduced_at string, lines array<bigint>, live_mutants bigint, source_sha256 string, docstring string, source string, family string, split string"
-EXTERNAL = ("subset", "question_id", "solution", "test", "gpt_difficulty", "gpt_pass_percentage")
+EXTERNAL = tuple("subset question_id solution test gpt_difficulty gpt_pass_percentage".split())
 STYLES = "struct<literal_eq bigint, approx bigint, relational bigint, membership bigint, expr_eq bigint, other bigint>"
 ORACLE = "struct<sites bigint, recorded bigint, replaced bigint, already_correct bigint, too_long bigint, unliteral bigint, repr_lengths array<bigint>>"
 SCORE = "struct<valid boolean, invalid_reason string, n_tests bigint, false_failures bigint, mutants_total bigint, mutants_equivalent bigint, mutants_killed bigint, mutation_score double, kills map<string,array<string>>>"
@@ -122,8 +123,9 @@ def frozen(item: str, source: str, version: str, profile: str, categories: list[
 
 
 def write_frozen(path: Path, artifact: dict) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(artifact, indent=1))
+    os.makedirs(path.parent, exist_ok=True)
+    with path.open("w") as f:
+        json.dump(artifact, f, indent=1)
 
 
 def read_frozen(path: Path, version: str) -> dict:
