@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import keyed_text, outer_id, ship, utf8, word_bounds
+from millrace.llm.common import keyed_text, outer_id, ship, tidied, utf8, word_bounds
 
 #: White space as Unicode's property has it; Python's str.split also takes 1C to 1F.
 SPACE = "\\u0009-\\u000d\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -298,14 +298,14 @@ def stretches(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return first.astype(np.int32), cuts, coded.dictionary.take(pa.array(index)).cast(pa.string()).to_pylist()
 
 
-_workers: dict[tuple[str, str], Worker] = {}
+_vocabularies: dict[str, PairIndexBPE] = {}
 
 
-def worker(kind: str, path: str, make: Callable[[PairIndexBPE], Worker]) -> Worker:
-    """Kept while the Python worker lives."""
-    if (kind, path) not in _workers:
-        _workers[kind, path] = make(PairIndexBPE(path))
-    return _workers[kind, path]
+def worker(path: str, make: Callable[[PairIndexBPE], Worker]) -> Worker:
+    """The vocabulary is kept while the Python worker lives; what is remembered of words goes with the task."""
+    if path not in _vocabularies:
+        _vocabularies[path] = PairIndexBPE(path)
+    return make(_vocabularies[path])
 
 
 def digest_worker(bpe: PairIndexBPE) -> Worker:
@@ -333,7 +333,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     ship(docs.sparkSession)
 
     def run(source):
-        state = worker("digests", path, digest_worker)
+        state = worker(path, digest_worker)
         for batch in source:
             done = 0
             for index, cuts, values in state.blocks(batch.column("text")):
@@ -348,7 +348,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(done, len(n)), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
                 done += len(n)
 
-    out = keyed_text(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = keyed_text(docs, id_col, text_col).mapInArrow(lambda source: tidied(run(source)), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.select(outer_id(id_col), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -358,7 +358,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     ship(docs.sparkSession)
 
     def run(source):
-        state = worker("arrays", path, array_worker)
+        state = worker(path, array_worker)
         for batch in source:
             done = 0
             for index, cuts, values in state.blocks(batch.column("text")):
@@ -373,5 +373,5 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
                 yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(done, len(data)), "ids": ids, "decoded": pa.array(decoded, pa.string())})
                 done += len(data)
 
-    out = keyed_text(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>, decoded string")
+    out = keyed_text(docs, id_col, text_col).mapInArrow(lambda source: tidied(run(source)), "id long, ids array<int>, decoded string")
     return out.select(outer_id(id_col), "ids", "decoded")

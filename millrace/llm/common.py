@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import os
 
@@ -17,6 +19,14 @@ NULL_ID = -(2**63)
 __all__ = ["materialize", "partitions", "ship"]
 WORD = r"[^\x20\x09-\x0D]+"
 
+def tidied(rows):
+    """What `rows` yields, in an executor's Python worker; then memory that was freed goes back, as workers live on idle."""
+    yield from rows
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) with null ids as NULL_ID and null texts empty; other columns, clashing names too, go."""
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import blocks, ship, utf8
+from millrace.llm.common import blocks, ship, tidied, utf8
 
 #: Hidden units in each direction, and the bytes that one chunk of a text has: each is read from a zero state.
 HIDDEN, CHUNK = 8, 128
@@ -223,7 +223,7 @@ def classify(docs: DataFrame, network: Network | None, text_col: str, pred: str,
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, pred, score])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda source: tidied(run(source)), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

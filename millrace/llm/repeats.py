@@ -42,6 +42,7 @@ from millrace.llm.common import (
     packed,
     partitions,
     ship,
+    tidied,
     unpacked,
     utf8,
     word_bounds,
@@ -200,14 +201,24 @@ BLOB_DDL = "bucket int, kind int, blob binary"
 
 
 def batches(rows: Iterator[dict], schema: pa.Schema, size: int = 256) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
+    def run():
+        held: list[dict] = []
+        for row in rows:
+            held.append(row)
+            if len(held) >= size:
+                yield pa.RecordBatch.from_pylist(held, schema)
+                held = []
+        if held:
             yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
+
+    return tidied(run())
+
+
+def slices(source: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what is made from one stays small."""
+    for batch in source:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 class Repeats:
@@ -254,7 +265,7 @@ class Repeats:
                 for r in self.runs_of(block):
                     held.append(r)
                     n += len(r["s"])
-                if n > 2 * HELD:
+                if n > HELD:
                     yield from out()
                     held, n = [], 0
             if n:
@@ -332,7 +343,7 @@ class Repeats:
                     part |= {"kind": np.full(len(part["id"]), kind, np.int32), "key": part["key"].view(np.int64), "s": part["s"].astype(np.int32), "e": part["e"].astype(np.int32)}
                     yield pa.RecordBatch.from_pydict({k: pa.array(part[k]) for k in names})
 
-        return table.mapInArrow(rows, columns)
+        return table.mapInArrow(lambda source: tidied(rows(source)), columns)
 
     # step 3 and 4
 
@@ -381,7 +392,7 @@ class Repeats:
 
         return lambda source: batches(run(source), BLOB)
 
-    def match(self, buckets: int) -> Callable:
+    def match(self) -> Callable:
         """Texts of runs, and windows one by one, of one partition: the windows that repeat."""
 
         def run(source):
@@ -394,12 +405,12 @@ class Repeats:
                 fresh, n = [], 0
                 if parts:
                     kept, again = reduce_runs(joined(parts))
-                    yield from spans(again, buckets)
+                    yield again
 
             for batch in source:
                 for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob")):
                     if kind == GONE:
-                        yield {"bucket": 0, "kind": GONE, "blob": blob.as_py()}
+                        yield unpacked(blob.as_buffer())
                     elif kind == NEEDS:
                         for r in pa.ipc.open_stream(blob.as_buffer()).read_all().to_pylist():
                             texts.setdefault(r["key"], []).append((r["id"], r["s"], r["e"], r["text"]))
@@ -414,9 +425,14 @@ class Repeats:
                 ids.append(doc)
                 s.append(first)
                 e.append(last)
-            yield from spans({"id": np.array(ids, np.int64), "s": np.array(s, np.int64), "e": np.array(e, np.int64)}, buckets)
+            yield {"id": np.array(ids, np.int64), "s": np.array(s, np.int64), "e": np.array(e, np.int64)}
 
-        return lambda source: batches(run(source), BLOB)
+        def out(source):
+            for gone in run(source):
+                if len(gone["id"]):
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(gone["id"]), "s": pa.array(gone["s"].astype(np.int32)), "e": pa.array(gone["e"].astype(np.int32))})
+
+        return lambda source: tidied(out(source))
 
     def repeated(self, docs: DataFrame) -> DataFrame:
         """(id, gone: array of (s, e)): the windows that repeat, in order; documents without any are left out."""
@@ -426,8 +442,8 @@ class Repeats:
         wanted = self.by_document(found.where(f"kind <> {GONE}"), "kind int, id long, s int, e int, key long")
         wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("kind", "s", "e", "key")).alias("runs"))
         cut = docs.select("id", F.col("text").cast("binary").alias("text")).join(wanted.hint("shuffle_hash"), "id")
-        matched = cut.mapInArrow(self.cut_out(p), BLOB_DDL).repartition(p, "bucket").mapInArrow(self.match(p), BLOB_DDL)
-        gone = self.by_document(found.where(f"kind = {GONE}").unionByName(matched), "id long, s int, e int")
+        matched = cut.mapInArrow(self.cut_out(p), BLOB_DDL).repartition(p, "bucket").mapInArrow(self.match(), "id long, s int, e int")
+        gone = self.by_document(found.where(f"kind = {GONE}"), "id long, s int, e int").unionByName(matched)
         return gone.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("gone"))
 
     def cleaned(self, docs: DataFrame) -> DataFrame:
@@ -436,7 +452,7 @@ class Repeats:
         extra = [c for c in docs.columns if c not in ("id", "text")]
 
         def run(source):
-            for batch in source:
+            for batch in slices(source):
                 gone = batch.column("gone")
                 n_, removed_, spans_, kept_ = [], [], [], []
                 for i, text in enumerate(batch.column("text")):
@@ -466,4 +482,4 @@ class Repeats:
         schema = T.StructType([*fields, *[docs.schema[c] for c in extra]])
         found = self.repeated(docs.select("id", "text"))
         pairs = docs.withColumn("text", F.col("text").cast("binary")).join(found.hint("shuffle_hash"), "id", "left")
-        return pairs.mapInArrow(run, schema)
+        return pairs.mapInArrow(lambda source: tidied(run(source)), schema)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import keyed_text, materialize, outer_id, partitions, ship
+from millrace.llm.common import keyed_text, materialize, outer_id, partitions, ship, tidied
 from millrace.operators.graph import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = [fingerprint(t.as_buffer().to_pybytes(), shingle) for t in batch.column("text")]
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))})
 
-    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(lambda source: tidied(run(source)), "id long, fp long")
 
 
 class Forest:

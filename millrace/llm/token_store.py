@@ -160,6 +160,10 @@ def gathered(index: np.ndarray, cuts: np.ndarray, values: list[bytes]) -> tuple[
     return flat[place], sums[cuts[1:]] - sums[cuts[:-1]]
 
 
+#: Encoders of this Python worker: tasks of one store follow each other, and words recur.
+_kept: dict[str, Worker] = {}
+
+
 def write_store(docs: DataFrame, uri: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encode documents in ascending id order, an end id after each, into files under `uri`; returns the manifest.
 
@@ -176,7 +180,9 @@ def write_store(docs: DataFrame, uri: str, path: str | None = None, end_id: int
     def run(source):
         from pyarrow.fs import FileSystem
 
-        state = worker("library", path, library_worker)
+        if path not in _kept:
+            _kept[path] = worker(path, library_worker)
+        state = _kept[path]
         fs, root = FileSystem.from_uri(uri)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         end = struct.pack("<I", end_id)
