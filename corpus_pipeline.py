@@ -5,15 +5,14 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import encode_documents
-from millrace.llm.common import NULL_ID, materialize
+from millrace.llm.common import NULL_ID, materialize, numbered
 from millrace.llm.decontaminate import leaks
 from millrace.llm.langid import UNDETERMINED, classify, learn
+from millrace.llm.near import similar_texts
 from millrace.llm.repeats import Repeats, Words
-from millrace.llm.simhash import near_duplicates
 from millrace.llm.substring_dedup import GRAM, WIDTH, automaton_matcher
 
 #: The least mean probability of the predicted language with which a document stays.
@@ -24,6 +23,16 @@ def _key(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """(id: a key of the row in the order of doc_id, text, and the columns as __column)."""
+    others = [F.col(c).alias(f"__{c}") for c in docs.columns]
+    return numbered(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"), *others), apart=True)
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"__{c}").alias(c) for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: no letter, or no language of LEAST_LANGUAGE_SCORE. A missing lang becomes the predicted one."""
     seen = classify(docs, learn(docs), "text", "__language", "__score")
@@ -32,12 +41,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, as the operator's own contract has them, the document of least id stays; rows that repeat an id are one document."""
-    groups = near_duplicates(docs)
-    first = groups.where("doc_id <=> component_id").select(_key().alias("__key")).distinct()
-    kept = docs.withColumn("__key", _key()).join(first.hint("merge"), "__key", "left_semi")
-    once = W.partitionBy("__key").orderBy("__key")
-    return kept.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").select(*docs.columns)
+    """Of each group of near duplicates, texts of similarity 0.8 or more in five-word shingles, the row of least id stays."""
+    own = _rows(docs)
+    again = similar_texts(own.select("id", "text")).where("id <> first").select("id")
+    return own.join(again, "id", "left_anti").select(*_columns(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

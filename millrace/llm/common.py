@@ -9,8 +9,10 @@ import os
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.plans.scratch import materialize, partitions, ship
 
@@ -32,9 +34,41 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def outer_id(name: str = "doc_id"):
+def numbered(docs: DataFrame, apart: bool = False) -> DataFrame:
+    """(id, text, …) with `doc` for the id it has (NULL_ID: null), and `id` a key of the row, in the order of ids.
+
+    Rows of one real id and one text are one document and share a key, unless
+    `apart`; rows of null id never do. Where ids tell the rows apart they are the
+    keys. Otherwise rows are sorted by id and text and numbered in a written table;
+    a hot id is spread by the hash of the text.
+    """
+    if docs.groupBy("id").count().where("count > 1").isEmpty():
+        return docs.withColumn("doc", F.col("id"))
+    ship(docs.sparkSession)
+    p = partitions(docs)
+    names, schema = docs.columns, docs.schema
+
+    def run(source):
+        part, nth, last = TaskContext.get().partitionId() << 33, -1, (NULL_ID, None)
+        for batch in source:
+            keys, ids, texts = [], batch.column("id").to_pylist(), batch.column("text")
+            for i, doc in enumerate(ids):
+                # the text is looked at only where the id is the one before
+                if apart or doc == NULL_ID or doc != last[0] or texts[i] != last[1]:
+                    nth += 1
+                    last = (doc, texts[i])
+                keys.append(part | nth)
+            columns = [pa.array(keys, pa.int64()) if c == "id" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("id")], [*names, "doc"])
+
+    order = ["id", F.xxhash64("text")]
+    rows = docs.repartitionByRange(p, *order).sortWithinPartitions(*order, "text")
+    return materialize(rows.mapInArrow(lambda source: tidied(run(source)), T.StructType([*schema, T.StructField("doc", T.LongType())])), "numbered")
+
+
+def outer_id(name: str = "doc_id", column: str = "id"):
     """NULL_ID back to null."""
-    return F.when(F.col("id") != NULL_ID, F.col("id")).alias(name)
+    return F.when(F.col(column) != NULL_ID, F.col(column)).alias(name)
 
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
