@@ -19,10 +19,6 @@ from millrace.llm.substring_dedup import GRAM, WIDTH, automaton_matcher
 LEAST_LANGUAGE_SCORE = 0.3
 
 
-def _key(column: str = "doc_id"):
-    return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     """(id: a key of the row in the order of doc_id, text, and the columns as __column)."""
     others = [F.col(c).alias(f"__{c}") for c in docs.columns]
@@ -49,9 +45,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove the words of repeated windows. Documents that lose none keep their text as it is; those that lose all go."""
-    others = [F.col(c).alias(f"__{c}") for c in docs.columns]
-    own = docs.select(_key().alias("id"), F.coalesce("text", F.lit("")).alias("text"), *others)
-    out = Repeats(Words, WIDTH, GRAM, automaton_matcher).cleaned(own).where("n_removed < n OR n = 0")
+    out = Repeats(Words, WIDTH, GRAM, automaton_matcher).cleaned(_rows(docs)).where("n_removed < n OR n = 0")
     text = F.when(F.col("n_removed") == 0, F.col("__text")).otherwise(F.col("kept").cast("string"))
     made = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
     return out.select(*[made.get(c, F.col(f"__{c}")).alias(c) for c in docs.columns])
@@ -60,8 +54,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that share a window with a benchmark item."""
     benchmark = spark.read.parquet(os.path.join(sf_dir, "benchmark.parquet"))
-    bad = leaks(docs, benchmark).select(_key().alias("__key")).distinct()
-    return docs.withColumn("__key", _key()).join(bad, "__key", "left_anti").select(*docs.columns)
+    own = _rows(docs)
+    bad = leaks(own, benchmark, id_col="id").select("id").distinct()
+    return own.join(bad, "id", "left_anti").select(*_columns(docs))
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
