@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import keyed_text, outer_id
+from millrace.llm.common import keyed_text, numbered, outer_id
 from millrace.llm.repeats import Bytes, Repeats
 
 WIDTH, GRAM = 100, 32
@@ -141,9 +141,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Returns (doc_id, n_bytes, n_removed, n_spans, kept binary). Null texts count as
     empty. Matches never cross documents. Rows that repeat a document exactly
-    (one id, one text) count as that document, each with the same result; rows
-    with one id and other texts lose what was found at those places in any of
-    them. A null id sorts first. Other columns are ignored.
+    (one id, not null, and one text) count as that document, each with the same
+    result. All other rows are documents of their own, in the order of id and then
+    of an order of texts; null ids sort first. Other columns are ignored.
     """
-    out = Repeats(Bytes, width, gram, array_matcher).cleaned(keyed_text(docs, id_col, text_col))
-    return out.select(outer_id(id_col), F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept")
+    out = Repeats(Bytes, width, gram, array_matcher).cleaned(numbered(keyed_text(docs, id_col, text_col)))
+    return out.select(outer_id(id_col, "doc"), F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept")

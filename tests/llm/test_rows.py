@@ -2,6 +2,11 @@
 
 import random
 
+import pytest
+
+from millrace.llm.substring_dedup import dedup_word_spans
+from millrace.llm.suffix_dedup import dedup_substrings
+
 r = random.Random(8)
 word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
 text = lambda n: " ".join(word() for _ in range(n))
@@ -39,6 +44,18 @@ def test_later_stages_keep_null_and_repeated_ids(spark, tmp_path):
     assert sorted(len(t.split()) for t in got) == sorted([60, 60] + [k + 5 + 25 * (line in x) for k in range(10, 20) for x in [next(t for t in got if t.split()[0] == rows[k - 10][1].split()[0])]])
 
 
+@pytest.mark.parametrize("dedup", [dedup_substrings, dedup_word_spans])
+def test_dedup_of_null_and_repeated_ids(spark, dedup):
+    line, whole = text(40), text(50)
+    rows = [(i, text(k) + " " + line + " " + text(7)) for k in range(1, 9) for i in (None, 5)] + [(None, whole)] * 3 + [(5, text(60)), (6, whole)]
+    got = [(x.doc_id, bytes(x.kept).decode() if not isinstance(x.kept, str) else x.kept) for x in dedup(frame(spark, rows)).collect()]
+    assert sorted(str(i) for i, _ in got) == sorted(str(i) for i, _ in rows)
+    kept = " ".join(t for _, t in got)
+    assert kept.count(line) == 1 and kept.count(whole) == 1
+    assert all(any(w in t for _, t in got) for _, x in rows for w in [x.split()[0], x.split()[-1]])
+    assert (5, rows[-2][1]) in got
+
+
 def test_numbered_orders_rows(spark):
     from millrace.llm.common import NULL_ID, keyed_text, numbered
 
