@@ -6,8 +6,12 @@ words with like endings, within which words have their add-one share. So a
 token's probability is normalised over all words, seen or not.
 
 All it learns are counts over every training document: of each word, and of each
-triple of classes. The triples are sufficient for the model and bounded by the
-number of classes, so they are trained from on the driver whatever the corpus has.
+triple of classes. Both the words with a class of their own and the training grow
+with the corpus: classes with the cube root of its tokens (`words_for`), so that a
+triple keeps about as many tokens; and training goes over every triple. Up to BLOCK
+triples are drawn from on the driver. Of more, the driver draws from one block to
+begin with, then tasks pass over all blocks, each triple with its count as weight,
+and their parameters are averaged in ROUNDS rounds.
 """
 
 from __future__ import annotations
@@ -24,17 +28,24 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import blocks, keyed_text, materialize, outer_id, partitions, ship
 
-#: Classes: WORDS common words, BUCKETS of endings, the end. Triples: at most CLASSES ** 3.
+#: Classes: WORDS common words at least, BUCKETS of endings, the end.
 WORDS, BUCKETS = 191, 64
 CLASSES, END = WORDS + BUCKETS + 1, WORDS + BUCKETS
 #: Model and training: dimensions, steps, examples of a step and noise samples they share.
 DIMENSIONS, STEPS, BATCH, NOISE, RATE = 24, 900, 4096, 96, 0.02
+#: Triples that one place trains on, and rounds of averaging over larger corpora.
+BLOCK, ROUNDS = STEPS * BATCH, 4
 #: Text bytes that share one dictionary.
 SHARE = 8 << 20
 #: Stands for the end of a text among words, which have no space.
 END_WORD = " "
 
 
+def words_for(tokens: int) -> int:
+    """Words with a class of their own: WORDS up to a million training tokens, then with the cube root."""
+    return max(WORDS, round(WORDS * (tokens / 1e6) ** (1 / 3)))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -111,36 +122,39 @@ def each_share(source):
             yield row
 
 
-def classes_of(words: list[str], common: dict[str, int]) -> np.ndarray:
-    return np.array([END if w == END_WORD else common[w] if w in common else WORDS + bucket(w) for w in words], np.int64)
+def classes_of(words: list[str], common: dict[str, int], own: int = WORDS) -> np.ndarray:
+    """Classes where `own` words have one of their own."""
+    return np.array([own + BUCKETS if w == END_WORD else common[w] if w in common else own + bucket(w) for w in words], np.int64)
 
 
-def contexts(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def contexts(tokens: np.ndarray, sizes: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the token before and of the one before that; END stands before a text."""
     first, second = np.empty_like(tokens), np.empty_like(tokens)
     first[1:], second[2:] = tokens[:-1], tokens[:-2]
     sizes = np.asarray(sizes, np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes[:-1])])
-    first[starts] = END
-    second[starts] = END
+    first[starts] = end
+    second[starts] = end
     after = (starts + 1)[sizes > 1]
-    second[after] = END
+    second[after] = end
     return first, second
 
 
-def triples(shares: DataFrame, common: dict[str, int]) -> DataFrame:
+def triples(shares: DataFrame, common: dict[str, int], own: int = WORDS) -> DataFrame:
     """(triple, n) over all training documents; a triple is three classes in one number."""
 
+    classes = own + BUCKETS + 1
+
     def run(source):
         for row in each_share(source):
-            c = classes_of(row["words"], common)[row["tokens"]]
-            a, b = contexts(c, row["sizes"])
-            code = ((b * CLASSES + a) * CLASSES + c)[~np.repeat(row["held"], row["sizes"])]
+            c = classes_of(row["words"], common, own)[row["tokens"]]
+            a, b = contexts(c, row["sizes"], own + BUCKETS)
+            code = ((b * classes + a) * classes + c)[~np.repeat(row["held"], row["sizes"])]
             if len(code):
                 value, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"triple": pa.array(value.astype(np.int32)), "n": pa.array(n)})
+                yield pa.RecordBatch.from_pydict({"triple": pa.array(value), "n": pa.array(n)})
 
-    return shares.select("sizes", "held", "words", "tokens").mapInArrow(run, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+    return shares.select("sizes", "held", "words", "tokens").mapInArrow(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -151,6 +165,9 @@ class LogBilinear:
     outputs: np.ndarray  # (CLASSES, D)
     bias: np.ndarray
 
+    def parameters(self) -> list[np.ndarray]:
+        return [self.inputs, self.near, self.far, self.outputs, self.bias]
+
     def log10_probabilities(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """(contexts, CLASSES), each row normalised."""
         y = (self.inputs[first] @ self.near + self.inputs[second] @ self.far) @ self.outputs.T + self.bias
@@ -159,30 +176,51 @@ class LogBilinear:
         return y / np.log(10)
 
 
-def train(codes: np.ndarray, counts: np.ndarray, classes: int = CLASSES, seed: int = 3, steps: int = STEPS, dimensions: int = DIMENSIONS) -> LogBilinear:
-    """Noise-contrastive estimation: tell triples, drawn by their counts, from ones whose last class is drawn alone."""
+def passed(counts: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """One pass over weighted rows in any order: (rows, weights of mean one). Heavy rows come several times with a part each."""
+    times = np.ceil(counts / (4 * counts.mean())).astype(np.int64)
+    at = rng.permutation(np.repeat(np.arange(len(counts)), times))
+    weight = (counts / times)[at]
+    return at, weight / weight.mean()
+
+
+def train(codes: np.ndarray, counts: np.ndarray, classes: int = CLASSES, seed: int = 3, steps: int = STEPS, dimensions: int = DIMENSIONS, net: LogBilinear | None = None, unigram: np.ndarray | None = None) -> LogBilinear:
+    """Noise-contrastive estimation: tell triples from ones whose last class is drawn alone.
+
+    Triples are drawn by their counts. With `net` training goes on from there, in
+    one pass over all triples with their counts as weights, at a quarter of the rate.
+    """
     rng = np.random.default_rng(seed)
     order = np.argsort(codes)
     codes, counts = codes[order].astype(np.int64), counts[order].astype(np.float64)
-    unigram = np.bincount(codes % classes, counts, classes) + 0.5
-    unigram /= unigram.sum()
+    if unigram is None:
+        unigram = np.bincount(codes % classes, counts, classes) + 0.5
+    unigram = unigram / unigram.sum()
     noise_log = np.log(NOISE * unigram)
-    d = dimensions
+    d, rate_at, weights = dimensions, RATE, None
     init = lambda *s: rng.standard_normal(s) * 0.1
-    net = LogBilinear(init(classes, d), np.eye(d) * 0.5, np.eye(d) * 0.25, init(classes, d), np.log(unigram))
-    params = [net.inputs, net.near, net.far, net.outputs, net.bias]
+    if net is None:
+        net = LogBilinear(init(classes, d), np.eye(d) * 0.5, np.eye(d) * 0.25, init(classes, d), np.log(unigram))
+    else:
+        net = LogBilinear(*[p.copy() for p in net.parameters()])
+        at, weights = passed(counts, rng)
+        steps, rate_at = -(-len(at) // BATCH), RATE / 4
+    params = net.parameters()
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     total = np.cumsum(counts)
     for step in range(1, steps + 1):
-        x = codes[np.searchsorted(total, rng.random(BATCH) * total[-1], "right").clip(0, len(codes) - 1)]
+        if weights is None:
+            x, weight = codes[np.searchsorted(total, rng.random(BATCH) * total[-1], "right").clip(0, len(codes) - 1)], np.ones(BATCH)
+        else:
+            x, weight = codes[at[(step - 1) * BATCH : step * BATCH]], weights[(step - 1) * BATCH : step * BATCH]
         w, a, b = x % classes, x // classes % classes, x // classes**2
         v = rng.choice(classes, NOISE, p=unigram)
         ra, rb = net.inputs[a], net.inputs[b]
         q = ra @ net.near + rb @ net.far
         real = (q * net.outputs[w]).sum(axis=1) + net.bias[w] - noise_log[w]
         fake = q @ net.outputs[v].T + net.bias[v] - noise_log[v]
-        gr = (1 / (1 + np.exp(-real)) - 1) / BATCH
-        gf = 1 / (1 + np.exp(-fake)) / BATCH
+        gr = (1 / (1 + np.exp(-real)) - 1) * weight / len(x)
+        gf = 1 / (1 + np.exp(-fake)) * (weight / len(x))[:, None]
         gq = gr[:, None] * net.outputs[w] + gf @ net.outputs[v]
         g = [np.zeros_like(p) for p in params]
         np.add.at(g[3], w, gr[:, None] * q)
@@ -192,7 +230,7 @@ def train(codes: np.ndarray, counts: np.ndarray, classes: int = CLASSES, seed: i
         np.add.at(g[0], a, gq @ net.near.T)
         np.add.at(g[0], b, gq @ net.far.T)
         g[1], g[2] = ra.T @ gq, rb.T @ gq
-        rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
+        rate = rate_at * min(1.0, 2 * (1 - step / (steps + 1)))
         for p, gp, m, s in zip(params, g, first, second):
             m += 0.1 * (gp - m)
             s += 0.01 * (gp * gp - s)
@@ -200,18 +238,52 @@ def train(codes: np.ndarray, counts: np.ndarray, classes: int = CLASSES, seed: i
     return net
 
 
-def class_scores(net: LogBilinear | None, c: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def fitted(found: DataFrame, classes: int, unigram: np.ndarray, block: int = BLOCK) -> LogBilinear | None:
+    """The model of a written table of triples, trained on all of them."""
+    size = found.count()
+    if not size:
+        return None
+    parts = -(-size // block)
+    own = found.withColumn("part", F.pmod(F.xxhash64("triple"), F.lit(parts * ROUNDS if parts > 1 else 1)))
+    begin = own.where(F.col("part") % parts == 0).toArrow() if parts > 1 else own.toArrow()
+    net = train(begin["triple"].to_numpy(), begin["n"].to_numpy(), classes, unigram=unigram)
+    del begin
+    for turn in range(ROUNDS if parts > 1 else 0):
+        sent = found.sparkSession.sparkContext.broadcast(net)
+
+        def run(source, sent=sent):
+            tables = [pa.Table.from_batches([b]) for b in source if b.num_rows]
+            if not tables:
+                return
+            t = pa.concat_tables(tables)
+            n = t["n"].to_numpy()
+            for part in np.unique(t["part"].to_numpy()).tolist():
+                mine = t["part"].to_numpy() == part
+                made = train(t["triple"].to_numpy()[mine], n[mine], classes, seed=part, net=sent.value, unigram=unigram)
+                yield pa.RecordBatch.from_pydict({"weight": pa.array([float(n[mine].sum())]), "net": pa.array([np.concatenate([p.ravel() for p in made.parameters()]).tobytes()], pa.binary())})
+
+        # blocks of this round meet in a task each; their nets come to the driver one at a time
+        now = own.where(F.floor(F.col("part") / parts) == turn).repartition(parts, "part")
+        total, weight = 0.0, 0.0
+        for row in now.mapInArrow(run, "weight double, net binary").toLocalIterator():
+            total, weight = total + row["weight"] * np.frombuffer(row["net"]), weight + row["weight"]
+        cut = np.cumsum([p.size for p in net.parameters()])[:-1]
+        net = LogBilinear(*[x.reshape(p.shape) for x, p in zip(np.split(total / weight, cut), net.parameters())])
+    return net
+
+
+def class_scores(net: LogBilinear | None, c: np.ndarray, sizes: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """log10 probability of each class in its place; the distinct contexts of a share are scored in blocks."""
     if net is None:
-        return np.full(len(c), -np.log10(CLASSES))
-    a, b = contexts(c, sizes)
-    pairs, which = np.unique(b * CLASSES + a, return_inverse=True)
+        return np.full(len(c), -np.log10(classes))
+    a, b = contexts(c, sizes, classes - 1)
+    pairs, which = np.unique(b * classes + a, return_inverse=True)
     out = np.empty(len(c))
-    order, step = np.argsort(which, kind="stable"), 4096
+    order, step = np.argsort(which, kind="stable"), max(1, 4096 * CLASSES // classes)
     cut = np.searchsorted(which[order], np.arange(0, len(pairs) + step, step))
     for k in range(0, len(pairs), step):
         rows = order[cut[k // step] : cut[k // step + 1]]
-        table = net.log10_probabilities(pairs[k : k + step] % CLASSES, pairs[k : k + step] // CLASSES)
+        table = net.log10_probabilities(pairs[k : k + step] % classes, pairs[k : k + step] // classes)
         out[rows] = table[which[rows] - k, c[rows]]
     return out
 
@@ -235,24 +307,30 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     totals = each.repartition(p, "words").withColumn("total", F.sum("counts").over(word)).withColumn("lead", F.row_number().over(ranked) == 1)
     totals = materialize(totals.select("g", "at", F.when(F.col("lead"), F.col("words")).alias("word"), "total"), "totals")
     seen = totals.where(f"word IS NOT NULL AND total > 0")
-    top = [r["word"] for r in seen.where(F.col("word") != END_WORD).orderBy(F.desc("total"), "word").limit(WORDS).collect()]
-    common = {w: i for i, w in enumerate(top)}
-    stats = seen.groupBy(F.when(F.col("word") == END_WORD, END).when(F.col("word").isin(top), 0).otherwise(WORDS + bucket_column(F.col("word"))).alias("class")).agg(F.sum("total").alias("n"), F.count("*").alias("v")).collect()
-    n_all, v_all = sum(r["n"] for r in stats), sum(r["v"] for r in stats)
-    within_n, within_v = np.zeros(CLASSES), np.zeros(CLASSES)
+    n_all = seen.agg(F.sum("total").alias("n")).first()["n"] or 0
+    own = words_for(n_all)
+    classes, end = own + BUCKETS + 1, own + BUCKETS
+    most = [(r["word"], r["total"]) for r in seen.where(F.col("word") != END_WORD).orderBy(F.desc("total"), "word").limit(own).collect()]
+    common = {w: i for i, (w, _) in enumerate(most)}
+    top = docs.sparkSession.createDataFrame([(w, 0) for w, _ in most], "word string, common int")
+    stats = seen.join(F.broadcast(top), "word", "left").groupBy(F.when(F.col("word") == END_WORD, end).otherwise(F.coalesce("common", own + bucket_column(F.col("word")))).alias("class")).agg(F.sum("total").alias("n"), F.count("*").alias("v")).collect()
+    v_all = sum(r["v"] for r in stats)
+    within_n, within_v, unigram = np.zeros(classes), np.zeros(classes), np.full(classes, 0.5)
+    unigram[: len(most)] += [n for _, n in most]
     for r in stats:
-        if WORDS <= r["class"] < END:
+        if r["class"] >= own:
+            unigram[r["class"]] += r["n"]
+        if own <= r["class"] < end:
             within_n[r["class"]], within_v[r["class"]] = r["n"], r["v"]
-    found = triples(shares, common).toArrow()
-    net = train(found["triple"].to_numpy(), found["n"].to_numpy()) if found.num_rows else None
+    net = fitted(materialize(triples(shares, common, own), "triples"), classes, unigram)
 
     def run(source):
         for row in each_share(source):
-            tokens, kinds = row["tokens"], classes_of(row.pop("words"), common)
+            tokens, kinds = row["tokens"], classes_of(row.pop("words"), common, own)
             counts = np.zeros(len(kinds), np.int64)
             counts[row["totals"][0]] = row["totals"][1]
             base = np.log10((counts + 1) / (n_all + v_all + 1))
-            rare = (kinds >= WORDS) & (kinds < END)
+            rare = (kinds >= own) & (kinds < end)
             share = np.where(rare, np.log10((counts + 1) / (within_n[kinds] + within_v[kinds] + 1)), 0.0)
             starts = np.concatenate([[0], np.cumsum(row["sizes"][:-1], dtype=np.int64)])
             c = kinds[tokens]
@@ -264,7 +342,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     "n_tokens": pa.array(row["sizes"].astype(np.int64)),
                     "n_known": pa.array(add((counts > 0).astype(np.int64)[tokens])),
                     "base_score": pa.array(add(base[tokens])),
-                    "score": pa.array(add(class_scores(net, c, row["sizes"]) + share[tokens])),
+                    "score": pa.array(add(class_scores(net, c, row["sizes"], classes) + share[tokens])),
                 }
             )
 

@@ -69,3 +69,36 @@ def test_contexts(sizes):
         seq = [lm.END, lm.END, *range(at, at + s)]
         assert a[at : at + s].tolist() == seq[1:-1] and b[at : at + s].tolist() == seq[:-2]
         at += s
+
+
+def test_classes_and_training_grow(spark):
+    assert lm.words_for(10**6) == lm.WORDS and lm.words_for(10**9) == 10 * lm.WORDS
+    at, weight = lm.passed(np.array([1.0] * 50 + [1000.0]), np.random.default_rng(1))
+    total = np.bincount(at, weight)
+    assert set(at) == set(range(51)) and np.allclose(total[:50], total[50] / 1000)
+    # most pairs of contexts are in one block only, so a model of the first block knows little of the others
+    k, r = 256, np.random.default_rng(2)
+    codes = np.unique(r.integers(0, k**2, 60000)) * k
+    codes += 3 * (codes // k % k) % k
+    n = r.integers(1, 9, len(codes))
+    found = spark.createDataFrame(list(zip(codes.tolist(), n.tolist())), "triple long, n long").repartition(3)
+    unigram = np.bincount(codes % k, n, k) + 0.5
+    taken, begun, real = [], [], lm.train
+    lm.train = lambda *a, **o: taken.append(len(a[0])) or begun.append(real(*a, **o)) or begun[-1]
+    try:
+        net = lm.fitted(found, k, unigram, block=12000)
+    finally:
+        lm.train = real
+    assert len(taken) == 1 and taken[0] < len(codes) / 3  # the beginning; the other blocks are trained on in tasks
+
+    def fit(net):
+        p = net.log10_probabilities(codes // k % k, codes // k**2)
+        assert np.allclose((10**p).sum(axis=1), 1)
+        return float(np.average(p[np.arange(len(codes)), codes % k], weights=n))
+
+    assert fit(net) > fit(begun[0])
+
+
+def test_more_words_have_classes_in_a_larger_corpus(spark, monkeypatch):
+    monkeypatch.setattr(lm, "words_for", lambda tokens: 200)
+    test_against_brute_force(spark)
