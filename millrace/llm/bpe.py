@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import keyed_text, outer_id, ship, tidied, utf8, word_bounds
+from millrace.llm.common import keyed_text, outer_id, ship, tidied, utf8
 
 #: White space as Unicode's property has it; Python's str.split also takes 1C to 1F.
 SPACE = "\\u0009-\\u000d\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -28,8 +29,8 @@ LOWER = {c: c + 1 for c in (0x1C89, 0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA)} | {
 LOWER |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 _SPLIT = regex.compile(f"[{SPACE}]+")
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Text bytes whose new words are encoded together; words and stretches that a worker remembers.
-BLOCK, WORDS, STRETCHES = 2 << 20, 200_000, 100_000
+#: Text bytes whose new words are encoded together; words and other pieces that a worker remembers.
+BLOCK, WORDS, OTHERS = 4 << 20, 200_000, 100_000
 #: Marks that are one token behind a word of letters, whatever the word.
 STOPS = frozenset(".,;:!?")
 
@@ -247,7 +248,7 @@ class PairIndexBPE:
 class Worker:
     """A vocabulary with what a Python worker remembers of it.
 
-    `encode` gives the values of new words, `join` the value of a stretch from
+    `encode` gives the values of new words, `join` the value of a piece from
     those of its words, `special` that of a special token.
     """
 
@@ -258,44 +259,94 @@ class Worker:
     n_words: int = WORDS
 
     def __post_init__(self):
-        self.words, self.stretches = Memory(self.n_words), Memory(STRETCHES)
+        self.words, self.others = Memory(self.n_words), Memory(OTHERS)
 
     def blocks(self, texts: pa.Array) -> Iterable[tuple[np.ndarray, np.ndarray, list]]:
         """(index, cuts, values) for blocks of texts: text k is values[i] for i in index[cuts[k] : cuts[k + 1]].
 
-        Stretches between ASCII white space are numbered by Arrow, so Python sees
-        each distinct one of a block once; new words are encoded together. Other
-        white space within a stretch is no part of any word.
+        Pieces of the text are numbered by Arrow, so Python sees each distinct one
+        of a block once; new words are encoded together. White space that isn't
+        ASCII stays within a piece and is no part of any word.
         """
         raw, offsets = utf8(texts)
         at = 0
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
-            index, cuts, names = stretches(raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+            index, cuts, names, plain = pieces(raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
             self.words.turn()
-            self.stretches.turn()
-            new = self.stretches.missing(names)
+            self.others.turn()
+            words = [names[i] for i in np.flatnonzero(plain).tolist()]
+            others = [names[i] for i in np.flatnonzero(~plain).tolist()]
+            new = self.others.missing(others)
             plans = [self.bpe.words_of(s) for s in new]
-            fresh = self.words.missing({w for plan in plans for w in plan if isinstance(w, str)})
-            self.words.young.update(zip(fresh, self.encode(fresh)))
+            fresh = self.words.missing(dict.fromkeys([*words, *[w for plan in plans for w in plan if isinstance(w, str)]]))
             known = self.words.young
-            self.stretches.young.update(zip(new, [known[plan[0]] if len(plan) == 1 and isinstance(plan[0], str) else self.join([known[w] if isinstance(w, str) else self.special(w) for w in plan]) for plan in plans]))
-            known = self.stretches.young
-            yield index, cuts, [known[s] for s in names]
+            known.update(zip(fresh, self.encode(fresh)))
+            rest = self.others.young
+            rest.update(zip(new, [self.join([known[w] if isinstance(w, str) else self.special(w) for w in plan]) for plan in plans]))
+            yield index, cuts, [known[s] if w else rest[s] for s, w in zip(names, plain.tolist())]
             at = end
 
 
-def stretches(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Number of each stretch of non-white bytes, the first stretch of each text (n + 1), and the distinct stretches."""
-    starts, ends, cuts = word_bounds(raw, offsets)
-    if not len(starts):
-        return np.zeros(0, np.int32), cuts, []
-    edges = np.empty(2 * len(starts) + 1, np.int32)  # stretch, gap, stretch, gap, ...
-    edges[:-1:2], edges[1::2], edges[-1] = starts, ends, len(raw)
-    pieces = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(raw))])
-    coded = pieces.dictionary_encode()
-    index, first = np.unique(coded.indices.to_numpy()[::2], return_inverse=True)
-    return first.astype(np.int32), cuts, coded.dictionary.take(pa.array(index)).cast(pa.string()).to_pylist()
+#: Classes of bytes as the vocabulary splits: white space, letters (and whatever isn't ASCII), digits, marks.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KIND[48:58] = 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Number of each piece of text, the first piece of each text (n + 1), the distinct pieces, and which of them are words as they are.
+
+    A stretch without white space is cut where ASCII letters, letters from À to ÿ,
+    digits and marks meet, and lower-cased: the vocabulary does the same. Where
+    that isn't sure (an apostrophe, the < of a special token, any other character
+    that isn't ASCII) a stretch is one piece, left as it is.
+    """
+    if not len(raw):
+        return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64), [], np.zeros(0, bool)
+    kind, low = _KIND[raw], _LOWER[raw]
+    unsure = (raw == 39) | (raw == 60)
+    high = raw >= 128
+    if high.any():
+        lead = np.zeros(len(raw), bool)
+        second = raw[1:]
+        lead[:-1] = (raw[:-1] == 0xC3) & (second != 0x97) & (second != 0xB7)
+        latin = lead.copy()
+        latin[1:] |= lead[:-1]
+        unsure |= high & ~latin
+        upper = np.flatnonzero(lead[:-1] & (second < 0x9F)) + 1
+        low[upper] += 32
+    inside = kind != 0
+    cut = np.zeros(len(raw), bool)
+    cut[0] = True
+    ends_of_texts = offsets[1:-1]
+    cut[ends_of_texts[ends_of_texts < len(raw)]] = True
+    first = inside.copy()
+    first[1:] &= cut[1:] | (kind[1:] != kind[:-1])
+    if unsure.any():
+        whole = inside.copy()
+        whole[1:] &= cut[1:] | ~inside[:-1]
+        begin = np.flatnonzero(whole)
+        bad = np.unique(np.searchsorted(begin, np.flatnonzero(unsure), "right") - 1)
+        gap = np.flatnonzero(np.append(~inside | whole, True))  # where a stretch can end
+        start = begin[bad]
+        stop = np.minimum(gap[np.searchsorted(gap, start, "right")], len(raw))
+        size = stop - start
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        low[at], first[at], kind[at] = raw[at], False, 4
+        first[start] = True
+    starts = np.flatnonzero(first)
+    dense = low[inside]
+    where = np.empty(len(starts) + 1, np.int32)
+    where[:-1], where[-1] = np.cumsum(inside, dtype=np.int64)[starts] - 1, len(dense)
+    coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(where), pa.py_buffer(dense)]).dictionary_encode()
+    index = coded.indices.to_numpy()
+    of = np.zeros(len(coded.dictionary), np.uint8)
+    of[index] = kind[starts]
+    return index, np.searchsorted(starts, offsets), coded.dictionary.cast(pa.string()).to_pylist(), (of == 1) | (of == 3)
 
 
 _vocabularies: dict[str, PairIndexBPE] = {}
@@ -308,16 +359,40 @@ def worker(path: str, make: Callable[[PairIndexBPE], Worker]) -> Worker:
     return make(_vocabularies[path])
 
 
+def pair_worker(bpe: PairIndexBPE, show: Callable[[list[int]], object], join: Callable[[list], object]) -> Worker:
+    """Values are (show(ids), decoded text), by the pair index."""
+    both = lambda ids: (show(ids), bpe.decode(ids))
+    return Worker(bpe, lambda words: [both(ids) for ids in bpe.merged([w.encode() for w in words])], lambda pairs: (join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])), lambda i: both([i]))
+
+
 def digest_worker(bpe: PairIndexBPE) -> Worker:
     """Values are (decimal ids, decoded text)."""
-    show = lambda ids: (" ".join(map(str, ids)), bpe.decode(ids))
-    return Worker(bpe, lambda words: [show(ids) for ids in bpe.merged([w.encode() for w in words])], lambda pairs: (" ".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])), lambda i: show([i]))
+    return pair_worker(bpe, lambda ids: " ".join(map(str, ids)), " ".join)
 
 
 def array_worker(bpe: PairIndexBPE) -> Worker:
     """Values are (ids as 32-bit integers, decoded text)."""
-    show = lambda ids: (np.array(ids, "<i4").tobytes(), bpe.decode(ids))
-    return Worker(bpe, lambda words: [show(ids) for ids in bpe.merged([w.encode() for w in words])], lambda pairs: (b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])), lambda i: show([i]))
+    return pair_worker(bpe, lambda ids: np.array(ids, "<i4").tobytes(), b"".join)
+
+
+def gathered(index: np.ndarray, cuts: np.ndarray, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit ids of values[i] for i in index, one after the other, and how many there are from each cut to the next."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    flat = np.frombuffer(b"".join(values), "<u4")
+    first = np.cumsum(sizes) - sizes
+    each = sizes[index]
+    total = np.cumsum(each)
+    place = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(first[index] - (total - each), each)
+    sums = np.concatenate([[0], total])
+    return flat[place], sums[cuts[1:]] - sums[cuts[:-1]]
+
+
+def sentences(index: np.ndarray, cuts: np.ndarray, values: list[str]) -> pa.Array:
+    """For each text its pieces' values, those that aren't empty, joined by one space."""
+    full = np.fromiter(map(bool, values), bool, len(values))[index]
+    at = np.concatenate([[0], np.cumsum(full)])[cuts]
+    parts = pa.array(values, pa.large_string()).take(pa.array(index[full]))
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(at), parts), pa.scalar(" ", pa.large_string()))
 
 
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,15 +412,11 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         for batch in source:
             done = 0
             for index, cuts, values in state.blocks(batch.column("text")):
-                n, a, b = [], [], []
-                shown, decoded = [v[0] for v in values], [v[1] for v in values]
-                rows, at = index.tolist(), cuts.tolist()
-                for k, e in zip(at, at[1:]):
-                    ids = " ".join([shown[i] for i in rows[k:e] if shown[i]])
-                    n.append(ids.count(" ") + 1 if ids else 0)
-                    a.append(hashlib.sha256(ids.encode()).hexdigest())
-                    b.append(hashlib.sha256(" ".join([decoded[i] for i in rows[k:e] if shown[i]]).encode()).hexdigest())
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(done, len(n)), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
+                sha = lambda texts: pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string())
+                shown, decoded = zip(*values) if values else ((), ())
+                ids = sentences(index, cuts, shown)
+                n = pc.add(pc.count_substring(ids, " "), pc.greater(pc.binary_length(ids), 0).cast(pa.int64()))
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(done, len(n)), "n_tokens": n.cast(pa.int64()), "ids_sha256": sha(ids), "decoded_sha256": sha(sentences(index, cuts, decoded))})
                 done += len(n)
 
     out = keyed_text(docs, id_col, text_col).mapInArrow(lambda source: tidied(run(source)), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -362,16 +433,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
         for batch in source:
             done = 0
             for index, cuts, values in state.blocks(batch.column("text")):
-                sizes, data, decoded = [0], [], []
-                rows, at = index.tolist(), cuts.tolist()
-                for k, e in zip(at, at[1:]):
-                    pairs = [values[i] for i in rows[k:e]]
-                    data.append(b"".join([p[0] for p in pairs]))
-                    sizes.append(len(data[-1]) // 4)
-                    decoded.append(" ".join([p[1] for p in pairs if p[0]]))
-                ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4")))
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(done, len(data)), "ids": ids, "decoded": pa.array(decoded, pa.string())})
-                done += len(data)
+                numbers, decoded = zip(*values) if values else ((), ())
+                flat, n = gathered(index, cuts, numbers)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat.view(np.int32)))
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(done, len(n)), "ids": ids, "decoded": sentences(index, cuts, decoded).cast(pa.string())})
+                done += len(n)
 
     out = keyed_text(docs, id_col, text_col).mapInArrow(lambda source: tidied(run(source)), "id long, ids array<int>, decoded string")
     return out.select(outer_id(id_col), "ids", "decoded")

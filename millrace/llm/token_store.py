@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import PairIndexBPE, Worker, default_path, worker
+from millrace.llm.bpe import PairIndexBPE, Worker, default_path, gathered, worker
 from millrace.llm.common import keyed_text, materialize, outer_id, partitions, ship
 from millrace.plans.scratch import scratch_path
 
@@ -148,18 +148,6 @@ def library_worker(bpe: PairIndexBPE) -> Worker:
     return Worker(bpe, encode, b"".join, lambda i: struct.pack("<I", i), REMEMBERED)
 
 
-def gathered(index: np.ndarray, cuts: np.ndarray, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of values[i] for i in index, one after the other, and how many there are from each cut to the next."""
-    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-    flat = np.frombuffer(b"".join(values), "<u4")
-    first = np.cumsum(sizes) - sizes
-    each = sizes[index]
-    total = np.cumsum(each)
-    place = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(first[index] - (total - each), each)
-    sums = np.concatenate([[0], total])
-    return flat[place], sums[cuts[1:]] - sums[cuts[:-1]]
-
-
 #: Encoders of this Python worker: tasks of one store follow each other, and words recur.
 _kept: dict[str, Worker] = {}
 
@@ -226,7 +214,9 @@ def write_store(docs: DataFrame, uri: str, path: str | None = None, end_id: int
         if counts:
             yield pa.RecordBatch.from_pylist([flush()], MANIFEST)
 
-    ordered = keyed_text(docs, id_col, text_col).repartitionByRange(p, "id").sortWithinPartitions("id")
+    # the text's hash spreads a hot id, and puts rows of one id in one order
+    order = ["id", F.xxhash64("text")]
+    ordered = keyed_text(docs, id_col, text_col).repartitionByRange(p, *order).sortWithinPartitions(*order, "text")
     return materialize(ordered.mapInArrow(run, MANIFEST_DDL), "manifest")
 
 
@@ -270,7 +260,7 @@ def stored_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     """(doc_id, start, n_tokens, ids_crc32) of each document, from files written and read back.
 
     Null counts as empty: its only id is the end id. A null id sorts first; rows
-    with one id follow each other in either order, with a row each. Other columns
+    with one id follow each other in the order of their texts' hashes, with a row each. Other columns
     are ignored. No documents: no files and no rows.
     """
     uri = uri or scratch_path(docs.sparkSession, "tokens")

@@ -3,9 +3,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from millrace.llm.bpe import PairIndexBPE, default_path, encode_documents, round_trip
+from millrace.llm.bpe import PairIndexBPE, array_worker, default_path, encode_documents, gathered, round_trip
 from millrace.llm.token_store import Codes, TokenFile, stored_digests, write_file, write_store
 from millrace.plans.scratch import scratch_path
 
@@ -23,7 +24,15 @@ def test_every_code_point_as_the_library(library):
     bpe = PairIndexBPE(default_path())
     chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x32000 or c % 211 == 0)]
     texts = ["".join(f"a{c}b{c}{c}" for c in chars[i : i + 50]) for i in range(0, len(chars), 50)]
-    assert [e.ids for e in library.encode_batch(texts, add_special_tokens=False)] == [bpe.encode(t) for t in texts]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert want == [bpe.encode(t) for t in texts]
+    texts += [t.replace("a", "Éx").replace("b", " É,ß'S 1Ab...à ") for t in texts]
+    want += [e.ids for e in library.encode_batch(texts[len(want) :], add_special_tokens=False)]
+    state, got = array_worker(bpe), []
+    for index, cuts, values in state.blocks(pa.array(texts)):
+        flat, n = gathered(index, cuts, [v[0] for v in values])
+        got += [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
+    assert got == want
 
 
 def random_texts(n):
