@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,13 +15,13 @@ from millrace.llm.common import blocks, ship, tidied, utf8
 
 #: Hidden units in each direction, and the bytes that one chunk of a text has: each is read from a zero state.
 HIDDEN, CHUNK = 8, 128
-#: Training sample: documents for each language (those of least hash), segments of each, languages.
-PER_LANGUAGE, SEGMENTS, LANGUAGES = 400, 4, 64
+#: Training sample: documents for each language (those of least hash), segments of each, documents in all unless there are more languages.
+PER_LANGUAGE, SEGMENTS, SAMPLE = 400, 4, 25_600
 STEPS, BATCH, RATE = 240, 192, 0.02
 #: Chunks that go through the network side by side.
 COLUMNS = 4096
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -172,26 +172,32 @@ def _gradients(net: Network, x: np.ndarray, gold: np.ndarray) -> list[np.ndarray
     return [*grads, grad_out, grad_bias]
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> tuple[list[bytes], list[int], list[str]]:
-    """Segments of at most PER_LANGUAGE documents of each of the LANGUAGES commonest labels, none of them held out."""
-    usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").where(~held_out(F.col("id")))
-    counts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL").where(~held_out(F.col("id"))).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> tuple[list[bytes], list[int], list[str]]:
+    """Segments of documents of every label, none of them held out: at most `per_language` documents of each, fewer where labels are many and `sample` would be exceeded, one at least."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL").where(~held_out(F.col("id")))
+    usable = own.where("length(text) > 0")
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return [], [], []
-    draw = F.pmod(F.xxhash64(F.lit("draw"), "id"), F.lit(1 << 30))
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1 << 30, int((1 << 30) * 1.3 * per_language / r["count"]) + 1))).otherwise(share)
+    each = max(1, min(per_language, sample // len(counts)))
+    draw = F.pmod(F.xxhash64(F.lit("draw"), "id", F.substring("text", 1, 200)), F.lit(1 << 30))
+    shares = [(r["lang"], min(1.0, (1.3 * each + 20) / r["count"]) * (1 << 30)) for r in counts]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
     size = 4 * CHUNK
     starts = [F.pmod(F.xxhash64(F.lit(i), "id"), F.greatest(F.lit(1), F.length("text") - size)) + 1 for i in range(SEGMENTS)]
-    rows = usable.where(draw < share).select("lang", draw.alias("draw"), F.array(*[F.substring("text", s, F.lit(size)) for s in starts]).alias("parts")).orderBy("draw", "lang").limit(2 * per_language * len(counts)).collect()
+    parts = F.array(*[F.substring("text", s, F.lit(size)) for s in starts]).alias("parts")
+    drawn = usable.join(shares, "lang").withColumn("place", draw / F.col("share")).where("place <= 1").select("lang", "place", parts)
+    rows = drawn.orderBy("place", "lang", "parts").limit(2 * (each + 40) * len(counts)).collect()
+    missing = {r["lang"] for r in counts} - {r["lang"] for r in rows}
+    if missing:  # copies of one text and id are drawn together or not at all
+        rows += usable.where(F.col("lang").isin(sorted(missing))).groupBy("lang").agg(F.min(parts).alias("parts")).collect()
     labels, taken, segments, targets = sorted(r["lang"] for r in counts), {}, [], []
     for r in rows:
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= per_language:
-            parts = [p.encode() for p in dict.fromkeys(r["parts"]) if p]
-            segments += parts
-            targets += [labels.index(r["lang"])] * len(parts)
+        if taken[r["lang"]] <= each:
+            pieces = [p.encode() for p in dict.fromkeys(r["parts"]) if p]
+            segments += pieces
+            targets += [labels.index(r["lang"])] * len(pieces)
     seen = sorted(set(targets))
     return segments, [seen.index(t) for t in targets], [labels[i] for i in seen]
 

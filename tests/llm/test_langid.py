@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from millrace.llm.langid import _gradients, identify, train
+from millrace.llm.langid import CHUNK, _gradients, classify, identify, train, training_sample
 
 
 def test_gradients_match_differences():
@@ -61,6 +61,50 @@ def test_held_out_accuracy_and_edges(spark):
     assert all(0 <= x.score <= 1 for x in got.values())
 
 
+def plain_forward(net, text):
+    """Mean label probabilities over all bytes, place by place, a gate at a time."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    n, total = net.out.shape[1] // 2, 0.0
+    for at in range(0, len(text), CHUNK):
+        chunk, sides = text[at : at + CHUNK], []
+        for d, seq in ((net.forward, range(len(chunk))), (net.backward, range(len(chunk) - 1, -1, -1))):
+            h, kept = np.zeros(n), {}
+            for t in seq:
+                x, u = d.table[:, chunk[t]], d.within @ h
+                z, r = sigmoid(x[:n] + u[:n]), sigmoid(x[n : 2 * n] + u[n : 2 * n])
+                h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * u[2 * n :])
+                kept[t] = h
+            sides.append(kept)
+        for t in range(len(chunk)):
+            y = np.exp(net.out @ np.concatenate([sides[0][t], sides[1][t]]) + net.bias[:, 0])
+            total = total + y / y.sum()
+    return total / len(text)
+
+
+def test_predictions_against_plain_forward(spark):
+    r = random.Random(6)
+    net = train([words(r, "etaoinshr", 40).encode(), words(r, "aeiouñlrj", 40).encode(), words(r, "xyzwv", 40).encode()], [0, 1, 2], ["en", "es", "xx"], steps=40)
+    texts = [words(r, a, n) for a in ("etaoinshr", "aeiouñlrj", "xyzwv") for n in (1, 5, 24, 25, 130, 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for x in classify(docs, net, "text", "lang_pred", "score").collect():
+        p = plain_forward(net, texts[x.doc_id].encode())
+        assert x.lang_pred == net.labels[int(p.argmax())] and abs(x.score - p.max()) < 1e-4
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(i, "tins shore hat", "en") for i in range(8)] + [(100, "½ ² 3", "en"), (101, "Ⅷ ① 7", "en"), (102, "ª", "en"), (103, "7 日", "en")]
+    got = {x.doc_id: x.lang_pred for x in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == got[101] == "und" and got[102] == got[103] == "en"
+
+
+def test_every_label_is_learned(spark):
+    r = random.Random(3)
+    rows = [(i, words(r, "abcdef", 20), f"l{i % 90:02}") for i in range(900)] + [(None, "same text", "null-ids")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    segments, targets, labels = training_sample(docs, "doc_id", "text", "lang", sample=180)
+    assert len(labels) == 91 and set(targets) == set(range(91)) and len(segments) == len(targets) <= 4 * 182
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(x.lang_pred, x.score) for x in identify(docs).collect()] == [("und", 0.0)]
