@@ -15,8 +15,8 @@ from millrace.llm.quality import let
 WINDOW, SUBSTITUTIONS = 13, 2
 #: Token positions that each mask compares; together they hit every such window (`lossless`).
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
-#: Items with fewer tokens than WINDOW must occur as they are; those with fewer than this are ignored.
-LEAST_TOKENS = 8
+#: Items with fewer tokens than WINDOW must occur as they are; those with fewer than this must be all of a document.
+WITHIN_TOKENS = 4
 #: Seeds of the benchmark that are broadcast at once (about 300 bytes each); a larger benchmark is joined block by block.
 BLOCK_SEEDS = 100_000
 
@@ -58,8 +58,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     most tokens that agree in one, doc_from and doc_to the token range that such
     windows cover in the document. Masks that ignore fixed places find the
     candidates; they must be lossless for these figures, so nothing is missed.
-    Items of LEAST_TOKENS to window - 1 tokens must occur whole and unchanged;
-    shorter ones, and null or empty texts, never match. Rows with one id count as
+    Shorter items must occur whole and unchanged, and those of fewer than
+    WITHIN_TOKENS tokens match only documents that have no other token. Null texts
+    and texts without a token never match. Rows with one id count as
     one document; null ids are kept. Other columns are ignored.
 
     Documents stream past broadcast seeds of the benchmark in blocks of a fixed
@@ -67,7 +68,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     if not lossless(masks, window, substitutions):
         raise ValueError("these masks miss windows with so many substitutions")
-    items = benchmark.select(F.col(item_col).alias("item"), token_hashes(F.col(item_text)).alias("tokens")).withColumn("n", F.size("tokens")).where(F.col("n") >= LEAST_TOKENS)
+    items = benchmark.select(F.col(item_col).alias("item"), token_hashes(F.col(item_text)).alias("tokens")).withColumn("n", F.size("tokens")).where("n > 0")
     short = [r[0] for r in items.where(F.col("n") < window).select("n").distinct().orderBy("n").collect()]
     numbered = list(enumerate(masks)) + [(len(masks) + i, tuple(range(n))) for i, n in enumerate(short)]
     length = F.lit(window)
@@ -100,5 +101,6 @@ def verified(hits: DataFrame, substitutions: int) -> DataFrame:
         return F.filter(every, lambda w: w["n"] >= size - allowed)
 
     # No filter here: the optimiser would make it a condition of the join and so take the join out of generated code.
-    good = hits.select("id", "item", "size", let(agree, windows).alias("good"))
+    alone = F.when((size >= WITHIN_TOKENS) | (size == F.size("tokens")), let(agree, windows))
+    good = hits.select("id", "item", "size", alone.alias("good"))
     return good.select("id", "item", F.array_max("good")["n"].alias("best"), F.array_min(F.transform("good", lambda w: w["lo"])).alias("lo"), (F.array_max(F.transform("good", lambda w: w["lo"])) + F.col("size")).alias("hi"))

@@ -130,7 +130,11 @@ bg AS (SELECT item_id, j, v[j:j + 3] AS g FROM (SELECT item_id, v, unnest(range(
 x AS (SELECT DISTINCT doc_id, item_id, i - j AS diag FROM dg JOIN bg USING (g)),
 y AS (SELECT doc_id, item_id, diag, w, v, unnest(range(greatest(1, 1 - diag), least(len(v) - 12, len(w) - diag - 12) + 1)) AS j FROM x JOIN d USING (doc_id) JOIN b USING (item_id)),
 z AS (SELECT doc_id, item_id, j + diag - 1 AS lo, list_sum(list_transform(range(0, 13), lambda k: CAST(w[j + diag + k] = v[j + k] AS INT))) AS n FROM y)
-SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS best, CAST(min(lo) AS BIGINT) AS doc_from, CAST(max(lo) + 13 AS BIGINT) AS doc_to FROM z WHERE n >= 11 GROUP BY doc_id, item_id""",
+SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS best, CAST(min(lo) AS BIGINT) AS doc_from, CAST(max(lo) + 13 AS BIGINT) AS doc_to FROM z WHERE n >= 11 GROUP BY doc_id, item_id
+UNION ALL
+SELECT doc_id, item_id, CAST(len(v) AS BIGINT), CAST(min(j) - 1 AS BIGINT), CAST(max(j) - 1 + len(v) AS BIGINT)
+FROM (SELECT doc_id, item_id, w, v, unnest(range(1, len(w) - len(v) + 2)) AS j FROM d, b WHERE len(v) BETWEEN 1 AND 12 AND len(w) >= len(v) AND (len(v) > 3 OR len(v) = len(w)))
+WHERE w[j:j + len(v) - 1] = v GROUP BY doc_id, item_id, len(v)""",
     "op4_sharding": """
 WITH RECURSIVE s AS (
   SELECT i, CAST('0x' || substr(md5('offset:shard-' || i), 1, 8) AS BIGINT) % 2039 AS off, CAST('0x' || substr(md5('skip:shard-' || i), 1, 8) AS BIGINT) % 2038 + 1 AS skip FROM range(16) t(i)),

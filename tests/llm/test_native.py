@@ -19,7 +19,7 @@ def brute_leaks(docs, items, w=13, s=2):
     for (d, t), (i, u) in itertools.product(docs, items):
         a, b = tok(t), tok(u)
         size, need = (w, w - s) if len(b) >= w else (len(b), len(b))
-        if size < 8:
+        if not size or size < 4 and size != len(a):
             continue
         hits = [(x, n) for x in range(len(a) - size + 1) for y in range(len(b) - size + 1) if (n := sum(p == q for p, q in zip(a[x : x + size], b[y : y + size]))) >= need]
         if hits:
@@ -40,13 +40,13 @@ def test_leaks_against_brute_force(spark):
             if part:
                 part[r.randrange(len(part))] = "other"
         docs.append((d, (" ".join(body + part + body[:5])).replace("w1 ", "W1, ")))
-    docs += [(None, None), (200, ""), (201, "dup " * 40), (202, "x")]
+    docs += [(None, None), (200, ""), (201, "dup " * 40), (202, "x"), (203, items[7][1]), (204, f"{items[7][1]} x"), (205, f"a b {items[6][1]} c"), (206, ("z " * 70000) + items[0][1])]
     df = spark.createDataFrame([(d, t, 1, "q") for d, t in docs], "doc_id long, text string, item long, tokens string").repartition(3)
     bench = spark.createDataFrame([(i, t, 2) for i, t in items], "item_id long, text string, doc_id int")
     want = brute_leaks(docs, items)
     for block in (100_000, 40):
         got = {(x.doc_id, x.item_id): (x.best, x.doc_from, x.doc_to) for x in leaks(df, bench, block_seeds=block).collect()}
-        assert got == want and len(want) > 20
+        assert got == want and len(want) > 20 and {(203, 7), (205, 6), (206, 0)} <= set(got) and (204, 7) not in got
     assert leaks(df.limit(0), bench).collect() == [] and leaks(df, bench.limit(0)).collect() == []
 
 
