@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD
+from millrace.llm.common import WORD, materialize
 
 #: Documents on which cost and selectivity are estimated (expected number).
 SAMPLE_ROWS = 2_000
@@ -15,11 +16,11 @@ SAMPLE_ROWS = 2_000
 
 @dataclass(frozen=True)
 class Rule:
-    """`reject` is true for a document to drop; `cost` estimates the work of finding out, in units of one character looked at."""
+    """`reject` is true for a document to drop; `cost` estimates the work of finding out, and where it is None the time is measured."""
 
     name: str
     reject: Column
-    cost: Column
+    cost: Column | None = None
 
 
 def let(value: Column, body) -> Column:
@@ -58,25 +59,39 @@ def with_features(docs: DataFrame) -> DataFrame:
 
 
 def default_rules() -> list[Rule]:
-    """Rules of the verdict; those on base columns cost one unit, the others what they scan."""
-    c, one, chars = F.col, F.lit(1.0), F.length("text").cast("double")
+    """Rules of the verdict; what each costs is measured."""
+    c = F.col
     return [
-        Rule("word_length", (c("word_chars") < 3 * c("n_words")) | (c("word_chars") > 10 * c("n_words")), one),
-        Rule("symbols", 10 * c("n_symbols") > c("n_words"), one),
-        Rule("duplicate_lines", 2 * c("n_dup_lines") > c("n_lines"), one),
-        Rule("repeated_words", 10 * c("n_repeat_words") > 3 * c("n_words"), one),
-        Rule("exclamation", 10 * _count("!") > 3 * c("n_words"), chars),
-        Rule("capitals", 2 * _count(r"\p{Lu}") > _count(r"\p{L}"), 2 * chars),
-        Rule("letterless_words", 10 * F.size(F.filter("words", lambda w: w.rlike(r"\p{L}"))) < 7 * c("n_words"), chars + 4.0 * c("n_words")),
+        Rule("word_length", (c("word_chars") < 3 * c("n_words")) | (c("word_chars") > 10 * c("n_words"))),
+        Rule("symbols", 10 * c("n_symbols") > c("n_words")),
+        Rule("duplicate_lines", 2 * c("n_dup_lines") > c("n_lines")),
+        Rule("repeated_words", 10 * c("n_repeat_words") > 3 * c("n_words")),
+        Rule("exclamation", 10 * _count("!") > 3 * c("n_words")),
+        Rule("capitals", 2 * _count(r"\p{Lu}") > _count(r"\p{L}")),
+        Rule("letterless_words", 10 * F.size(F.filter("words", lambda w: w.rlike(r"\p{L}"))) < 7 * c("n_words")),
     ]
 
 
+def seconds(df: DataFrame, value: Column) -> float:
+    """Time of evaluating it on all rows; the lesser of two, as the first run compiles."""
+    took = []
+    for _ in range(2):
+        began = time.perf_counter()
+        df.agg(F.count_if(value)).first()
+        took.append(time.perf_counter() - began)
+    return min(took)
+
+
 def cascade_order(features: DataFrame, rules: list[Rule], total: int, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejection per cost on a sample, greatest first; ties by name. Order changes the work, never the verdict."""
-    sample = features.sample(min(1.0, sample_rows / max(1, total)), seed=11)
-    figures = [f for i, r in enumerate(rules) for f in (F.avg(r.reject.cast("double")).alias(f"r{i}"), F.avg(r.cost).alias(f"c{i}"))]
+    return ordered(features.sample(min(1.0, sample_rows / max(1, total)), seed=11), rules)
+
+
+def ordered(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
+    figures = [f for i, r in enumerate(rules) for f in (F.avg(r.reject.cast("double")).alias(f"r{i}"), *([F.avg(r.cost).alias(f"c{i}")] if r.cost is not None else []))]
     row = sample.agg(*figures).first()
-    gain = {r.name: (row[f"r{i}"] or 0.0) / max(row[f"c{i}"] or 1.0, 1e-9) for i, r in enumerate(rules)}
+    cost = {r.name: row[f"c{i}"] if r.cost is not None else seconds(sample, r.reject) for i, r in enumerate(rules)}
+    gain = {r.name: (row[f"r{i}"] or 0.0) / max(cost[r.name] or 1.0, 1e-9) for i, r in enumerate(rules)}
     return sorted(rules, key=lambda r: (-gain[r.name], r.name))
 
 
@@ -93,11 +108,13 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rules = default_rules() if rules is None else rules
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # sampled before anything is computed, and written, so that a rule's time holds no other's work
+    sample = own.sample(min(1.0, sample_rows / max(1, docs.count())), seed=11).repartition(4)
+    cascade = ordered(materialize(with_features(sample), "sample"), rules)
     features = with_features(own)
-    ordered = cascade_order(features, rules, docs.count(), sample_rows)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     verdict = F.when(F.col("base_failed"), F.lit(False))
-    for r in ordered:
+    for r in cascade:
         verdict = verdict.when(r.reject, F.lit(False))
     return features.withColumn("base_failed", failed).select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.otherwise(True).alias("kept")
