@@ -9,24 +9,25 @@ All it learns are counts over every training document: of each word, and of each
 triple of classes. Both the words with a class of their own and the training grow
 with the corpus: classes with the cube root of its tokens (`words_for`), so that a
 triple keeps about as many tokens; and training goes over every triple. Up to BLOCK
-triples are drawn from on the driver. Of more, the driver draws from one block to
-begin with, then tasks pass over all blocks, each triple with its count as weight,
-and their parameters are averaged in ROUNDS rounds.
+triples are drawn from on the driver. Of more, the driver draws from about as many
+to begin with, then tasks pass over all others where they lie, each triple with its
+count as weight, and the tasks' parameters are averaged in ROUNDS rounds.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, keyed_text, materialize, outer_id, partitions, ship
+from millrace.llm.common import blocks, keyed_text, materialize, outer_id, ship, tidied, utf8, word_bounds
 
 #: Classes: WORDS common words at least, BUCKETS of endings, the end.
 WORDS, BUCKETS = 191, 64
@@ -35,8 +36,8 @@ CLASSES, END = WORDS + BUCKETS + 1, WORDS + BUCKETS
 DIMENSIONS, STEPS, BATCH, NOISE, RATE = 24, 900, 4096, 96, 0.02
 #: Triples that one place trains on, and rounds of averaging over larger corpora.
 BLOCK, ROUNDS = STEPS * BATCH, 4
-#: Text bytes that share one dictionary.
-SHARE = 8 << 20
+#: Tokens that share one dictionary, about.
+SHARE = 3 << 19
 #: Stands for the end of a text among words, which have no space.
 END_WORD = " "
 
@@ -58,8 +59,19 @@ def bucket_column(word: Column) -> Column:
     return F.crc32(F.right(word, F.lit(2)).cast("binary")) % BUCKETS
 
 
-SHARES = pa.schema([("g", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("held", pa.list_(pa.bool_())), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("tokens", pa.binary())])
 SHARES_DDL = "g long, ids array<long>, sizes array<int>, held array<boolean>, words array<string>, counts array<long>, tokens binary"
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def words_in(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words, lower-cased in ASCII, and how many each text has."""
+    raw, offsets = utf8(texts)
+    starts, ends, cuts = word_bounds(raw, offsets)
+    where = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    inside = (raw != 32) & ((raw - np.uint8(9)) > 4)
+    dense = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(where), pa.py_buffer(_LOWER[raw[inside]])])
+    return dense.dictionary_encode(), np.diff(cuts)
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
@@ -67,39 +79,42 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
     def run(source):
         part, nth, size = TaskContext.get().partitionId(), 0, 0
-        index, parts, ids, sizes, held = {}, [], [], [], []
+        words, n, ids, held = [], [], [], []
 
         def flush():
-            tokens = np.concatenate(parts)
-            train = ~np.repeat(np.array(held), sizes)
+            coded = pa.chunked_array(words).unify_dictionaries().combine_chunks() if len(words) > 1 else words[0]
+            coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+            sizes, names = np.concatenate(n), coded.dictionary.cast(pa.string())
+            tokens = np.insert(coded.indices.to_numpy(), np.cumsum(sizes), len(names)).astype("<i4")
+            out = np.concatenate(held)
+            train = ~np.repeat(out, sizes + 1)
+            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
             row = {
-                "g": part << 24 | nth,
-                "ids": ids,
-                "sizes": sizes,
-                "held": held,
-                "words": list(index),
-                "counts": np.bincount(tokens[train], minlength=len(index)).tolist(),
-                "tokens": pa.compress(tokens.astype("<i4").tobytes(), "zstd", asbytes=True),
+                "g": pa.array([part << 24 | nth]),
+                "ids": one(pa.array(np.concatenate(ids))),
+                "sizes": one(pa.array((sizes + 1).astype(np.int32))),
+                "held": one(pa.array(out)),
+                "words": one(pa.concat_arrays([names, pa.array([END_WORD])])),
+                "counts": one(pa.array(np.bincount(tokens[train], minlength=len(names) + 1))),
+                "tokens": pa.array([pa.compress(tokens.tobytes(), "zstd", asbytes=True)]),
             }
-            return pa.RecordBatch.from_pylist([row], SHARES)
-
-        for block in blocks(source, 1 << 20):
-            for doc, text, out in zip(block.column("id").to_pylist(), block.column("text"), block.column("held").to_pylist()):
-                words = text.as_buffer().to_pybytes().lower().split()
-                words.append(b" ")
-                parts.append(np.fromiter([index.setdefault(w, len(index)) for w in words], np.int32, len(words)))
-                ids.append(doc)
-                sizes.append(len(words))
-                held.append(out)
-                size += 8 * len(words)
-                if size >= SHARE:
-                    yield flush()
-                    index, parts, ids, sizes, held, size, nth = {}, [], [], [], [], 0, nth + 1
+            return pa.RecordBatch.from_pydict(row)
+
+        for block in blocks(source, 4 << 20):
+            coded, sizes = words_in(block.column("text"))
+            words.append(coded)
+            n.append(sizes)
+            ids.append(block.column("id").to_numpy())
+            held.append(block.column("held").to_numpy(zero_copy_only=False))
+            size += len(coded) + len(sizes)
+            if size >= SHARE:
+                yield flush()
+                words, n, ids, held, size, nth = [], [], [], [], 0, nth + 1
         if ids:
             yield flush()
 
-    own = docs.select("id", F.col("text").cast("binary").alias("text"), held_out(F.when(F.col("id") != -(2**63), F.col("id"))).alias("held"))
-    return own.mapInArrow(run, SHARES_DDL)
+    own = docs.select("id", F.col("text").cast("binary").alias("text"), held_out(outer_id()).alias("held"))
+    return own.mapInArrow(lambda source: tidied(run(source)), SHARES_DDL)
 
 
 def each_share(source):
@@ -110,9 +125,9 @@ def each_share(source):
             for name in batch.schema.names:
                 cell = batch.column(name)[i]
                 if name == "words":
-                    row[name] = cell.values.to_pylist()
+                    row[name] = cell.values
                 elif name == "totals":
-                    row[name] = tuple(cell.values.field(k).to_numpy() for k in (0, 1))
+                    row[name] = tuple(cell.values.field(k).to_numpy() for k in (0, 1)) if cell.is_valid else None
                 elif name == "tokens":
                     row[name] = cell.as_buffer()
                 elif pa.types.is_list(cell.type):
@@ -122,9 +137,14 @@ def each_share(source):
             yield row
 
 
-def classes_of(words: list[str], common: dict[str, int], own: int = WORDS) -> np.ndarray:
-    """Classes where `own` words have one of their own."""
-    return np.array([own + BUCKETS if w == END_WORD else common[w] if w in common else own + bucket(w) for w in words], np.int64)
+def classes_of(words: pa.Array, common: list[str], own: int = WORDS) -> np.ndarray:
+    """Classes where the `common` words have one of their own, in their order."""
+    kinds = pc.index_in(words, pa.array(common, pa.string())).fill_null(-1).to_numpy().astype(np.int64)
+    ends = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+    rest = own + np.array([bucket(w) for w in ends.dictionary.to_pylist()], np.int64)
+    kinds = np.where(kinds < 0, rest[ends.indices.to_numpy()], kinds)
+    kinds[pc.equal(words, END_WORD).to_numpy(zero_copy_only=False)] = own + BUCKETS
+    return kinds.astype(np.int32)
 
 
 def contexts(tokens: np.ndarray, sizes: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +160,8 @@ def contexts(tokens: np.ndarray, sizes: np.ndarray, end: int = END) -> tuple[np.
     return first, second
 
 
-def triples(shares: DataFrame, common: dict[str, int], own: int = WORDS) -> DataFrame:
-    """(triple, n) over all training documents; a triple is three classes in one number."""
+def triples(shares: DataFrame, common: list[str], own: int = WORDS) -> DataFrame:
+    """(triple, n) over all training documents of each share; a triple is three classes in one number."""
 
     classes = own + BUCKETS + 1
 
@@ -149,12 +169,12 @@ def triples(shares: DataFrame, common: dict[str, int], own: int = WORDS) -> Data
         for row in each_share(source):
             c = classes_of(row["words"], common, own)[row["tokens"]]
             a, b = contexts(c, row["sizes"], own + BUCKETS)
-            code = ((b * classes + a) * classes + c)[~np.repeat(row["held"], row["sizes"])]
+            code = ((b.astype(np.int64) * classes + a) * classes + c)[~np.repeat(row["held"], row["sizes"])]
             if len(code):
                 value, n = np.unique(code, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"triple": pa.array(value), "n": pa.array(n)})
 
-    return shares.select("sizes", "held", "words", "tokens").mapInArrow(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+    return shares.select("sizes", "held", "words", "tokens").mapInArrow(lambda source: tidied(run(source)), "triple long, n long")
 
 
 @dataclass
@@ -173,7 +193,7 @@ class LogBilinear:
         y = (self.inputs[first] @ self.near + self.inputs[second] @ self.far) @ self.outputs.T + self.bias
         y -= y.max(axis=1, keepdims=True)
         y -= np.log(np.exp(y).sum(axis=1, keepdims=True))
-        return y / np.log(10)
+        return y * y.dtype.type(1 / np.log(10))
 
 
 def passed(counts: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +204,15 @@ def passed(counts: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np
     return at, weight / weight.mean()
 
 
+def gathered_rows(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows for each of n places."""
+    out = np.zeros((n, *rows.shape[1:]), rows.dtype)
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.diff(at[order], prepend=-1))
+    out[at[order][first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 def train(codes: np.ndarray, counts: np.ndarray, classes: int = CLASSES, seed: int = 3, steps: int = STEPS, dimensions: int = DIMENSIONS, net: LogBilinear | None = None, unigram: np.ndarray | None = None) -> LogBilinear:
     """Noise-contrastive estimation: tell triples from ones whose last class is drawn alone.
 
@@ -196,11 +225,11 @@ def train(codes: np.ndarray, counts: np.ndarray, classes: int = CLASSES, seed: i
     if unigram is None:
         unigram = np.bincount(codes % classes, counts, classes) + 0.5
     unigram = unigram / unigram.sum()
-    noise_log = np.log(NOISE * unigram)
+    noise_log = np.log(NOISE * unigram).astype(np.float32)
     d, rate_at, weights = dimensions, RATE, None
-    init = lambda *s: rng.standard_normal(s) * 0.1
+    init = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
     if net is None:
-        net = LogBilinear(init(classes, d), np.eye(d) * 0.5, np.eye(d) * 0.25, init(classes, d), np.log(unigram))
+        net = LogBilinear(init(classes, d), np.eye(d, dtype=np.float32) * 0.5, np.eye(d, dtype=np.float32) * 0.25, init(classes, d), np.log(unigram).astype(np.float32))
     else:
         net = LogBilinear(*[p.copy() for p in net.parameters()])
         at, weights = passed(counts, rng)
@@ -217,19 +246,20 @@ def train(codes: np.ndarray, counts: np.ndarray, classes: int = CLASSES, seed: i
         v = rng.choice(classes, NOISE, p=unigram)
         ra, rb = net.inputs[a], net.inputs[b]
         q = ra @ net.near + rb @ net.far
+        weight = weight.astype(np.float32)
         real = (q * net.outputs[w]).sum(axis=1) + net.bias[w] - noise_log[w]
         fake = q @ net.outputs[v].T + net.bias[v] - noise_log[v]
         gr = (1 / (1 + np.exp(-real)) - 1) * weight / len(x)
         gf = 1 / (1 + np.exp(-fake)) * (weight / len(x))[:, None]
         gq = gr[:, None] * net.outputs[w] + gf @ net.outputs[v]
-        g = [np.zeros_like(p) for p in params]
-        np.add.at(g[3], w, gr[:, None] * q)
-        np.add.at(g[3], v, gf.T @ q)
-        np.add.at(g[4], w, gr)
-        np.add.at(g[4], v, gf.sum(axis=0))
-        np.add.at(g[0], a, gq @ net.near.T)
-        np.add.at(g[0], b, gq @ net.far.T)
-        g[1], g[2] = ra.T @ gq, rb.T @ gq
+        both = np.concatenate([w, v])
+        g = [
+            gathered_rows(classes, np.concatenate([a, b]), np.concatenate([gq @ net.near.T, gq @ net.far.T])),
+            ra.T @ gq,
+            rb.T @ gq,
+            gathered_rows(classes, both, np.concatenate([gr[:, None] * q, gf.T @ q])),
+            gathered_rows(classes, both, np.concatenate([gr, gf.sum(axis=0)])),
+        ]
         rate = rate_at * min(1.0, 2 * (1 - step / (steps + 1)))
         for p, gp, m, s in zip(params, g, first, second):
             m += 0.1 * (gp - m)
@@ -238,37 +268,71 @@ def train(codes: np.ndarray, counts: np.ndarray, classes: int = CLASSES, seed: i
     return net
 
 
-def fitted(found: DataFrame, classes: int, unigram: np.ndarray, block: int = BLOCK) -> LogBilinear | None:
-    """The model of a written table of triples, trained on all of them."""
-    size = found.count()
+def averaged(rows: DataFrame, net: LogBilinear, classes: int, unigram: np.ndarray, block: int, places: int, seed: int) -> LogBilinear:
+    """`net` trained further in every task on the (triple, n) rows it has, a block at a time, and averaged by tokens: first in `places` tasks, then here."""
+    sent = rows.sparkSession.sparkContext.broadcast(net)
+
+    def learned(source):
+        held, size, total, weight, nth = [], 0, 0.0, 0.0, 0
+
+        def go():
+            nonlocal total, weight
+            codes, n = (np.concatenate(x) for x in zip(*held))
+            codes, at = np.unique(codes, return_inverse=True)
+            n = np.bincount(at, n)
+            made = train(codes, n, classes, seed=seed + 1000 * nth, net=sent.value, unigram=unigram)
+            total, weight = total + n.sum() * np.concatenate([p.ravel() for p in made.parameters()]).astype(np.float64), weight + n.sum()
+
+        for batch in source:
+            if batch.num_rows:
+                held.append((batch.column("triple").to_numpy(), batch.column("n").to_numpy()))
+                size += batch.num_rows
+                if size >= block:
+                    go()
+                    held, size, nth = [], 0, nth + 1
+        if held:
+            go()
+        if weight:
+            yield pa.RecordBatch.from_pydict({"weight": pa.array([float(weight)]), "net": pa.array([total.tobytes()], pa.binary())})
+
+    def added(source):
+        total, weight = 0.0, 0.0
+        for batch in source:
+            for w, x in zip(batch.column("weight").to_pylist(), batch.column("net")):
+                total, weight = total + np.frombuffer(x.as_buffer()), weight + w
+        if weight:
+            yield pa.RecordBatch.from_pydict({"weight": pa.array([weight]), "net": pa.array([total.tobytes()], pa.binary())})
+
+    ddl = "weight double, net binary"
+    total, weight = 0.0, 0.0
+    for row in rows.mapInArrow(lambda source: tidied(learned(source)), ddl).repartition(places).mapInArrow(added, ddl).toLocalIterator():
+        total, weight = total + np.frombuffer(row["net"]), weight + row["weight"]
+    if not weight:
+        return net
+    cut = np.cumsum([p.size for p in net.parameters()])[:-1]
+    return LogBilinear(*[x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(total / weight, cut), net.parameters())])
+
+
+def fitted(found: DataFrame, classes: int, unigram: np.ndarray, block: int = BLOCK, size: int | None = None, begin: DataFrame | None = None, rounds: list[DataFrame] | None = None) -> LogBilinear | None:
+    """The model of (triple, n) rows, trained on all of them.
+
+    `size`: how many they are, if known. Of more than `block`, `begin` names the
+    rows that the driver draws from and `rounds` those that each round passes over;
+    without them rows are told apart by the hash of the triple.
+    """
+    size = found.count() if size is None else size
     if not size:
         return None
     parts = -(-size // block)
-    own = found.withColumn("part", F.pmod(F.xxhash64("triple"), F.lit(parts * ROUNDS if parts > 1 else 1)))
-    begin = own.where(F.col("part") % parts == 0).toArrow() if parts > 1 else own.toArrow()
-    net = train(begin["triple"].to_numpy(), begin["n"].to_numpy(), classes, unigram=unigram)
-    del begin
-    for turn in range(ROUNDS if parts > 1 else 0):
-        sent = found.sparkSession.sparkContext.broadcast(net)
-
-        def run(source, sent=sent):
-            tables = [pa.Table.from_batches([b]) for b in source if b.num_rows]
-            if not tables:
-                return
-            t = pa.concat_tables(tables)
-            n = t["n"].to_numpy()
-            for part in np.unique(t["part"].to_numpy()).tolist():
-                mine = t["part"].to_numpy() == part
-                made = train(t["triple"].to_numpy()[mine], n[mine], classes, seed=part, net=sent.value, unigram=unigram)
-                yield pa.RecordBatch.from_pydict({"weight": pa.array([float(n[mine].sum())]), "net": pa.array([np.concatenate([p.ravel() for p in made.parameters()]).tobytes()], pa.binary())})
-
-        # blocks of this round meet in a task each; their nets come to the driver one at a time
-        now = own.where(F.floor(F.col("part") / parts) == turn).repartition(parts, "part")
-        total, weight = 0.0, 0.0
-        for row in now.mapInArrow(run, "weight double, net binary").toLocalIterator():
-            total, weight = total + row["weight"] * np.frombuffer(row["net"]), weight + row["weight"]
-        cut = np.cumsum([p.size for p in net.parameters()])[:-1]
-        net = LogBilinear(*[x.reshape(p.shape) for x, p in zip(np.split(total / weight, cut), net.parameters())])
+    if parts > 1:
+        turn = F.pmod(F.xxhash64("triple"), F.lit(parts * ROUNDS))
+        begin = found.where(turn % parts == 0) if begin is None else begin
+        rounds = [found.where(F.floor(turn / parts) == k) for k in range(ROUNDS)] if rounds is None else rounds
+    first = (begin if parts > 1 else found).groupBy("triple").agg(F.sum("n").alias("n")).toArrow()
+    net = train(first["triple"].to_numpy(), first["n"].to_numpy(), classes, unigram=unigram)
+    del first
+    for k, rows in enumerate(rounds if parts > 1 else []):
+        net = averaged(rows, net, classes, unigram, block, max(1, math.isqrt(parts)), seed=k)
     return net
 
 
@@ -277,8 +341,9 @@ def class_scores(net: LogBilinear | None, c: np.ndarray, sizes: np.ndarray, clas
     if net is None:
         return np.full(len(c), -np.log10(classes))
     a, b = contexts(c, sizes, classes - 1)
-    pairs, which = np.unique(b * classes + a, return_inverse=True)
-    out = np.empty(len(c))
+    pairs, which = np.unique((b if classes < 46_000 else b.astype(np.int64)) * classes + a, return_inverse=True)
+    which = which.astype(np.int32)
+    out = np.empty(len(c), np.float32)
     order, step = np.argsort(which, kind="stable"), max(1, 4096 * CLASSES // classes)
     cut = np.searchsorted(which[order], np.arange(0, len(pairs) + step, step))
     for k in range(0, len(pairs), step):
@@ -299,20 +364,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and both scores have the add-one share of no words. Other columns are ignored.
     """
     ship(docs.sparkSession)
-    p = partitions(docs)
     shares = materialize(tokenised(keyed_text(docs, id_col, text_col)), "shares")
-    each = shares.select("g", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("g", "at", "x.words", "x.counts")
-    word = W.partitionBy("words")
-    ranked = word.orderBy("g")
-    totals = each.repartition(p, "words").withColumn("total", F.sum("counts").over(word)).withColumn("lead", F.row_number().over(ranked) == 1)
-    totals = materialize(totals.select("g", "at", F.when(F.col("lead"), F.col("words")).alias("word"), "total"), "totals")
-    seen = totals.where(f"word IS NOT NULL AND total > 0")
+    each = shares.select("g", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("g", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    totals = materialize(each.groupBy("word").agg(F.sum("n").alias("total"), F.count("*").alias("shares")), "totals")
+    seen = totals.where("total > 0")
     n_all = seen.agg(F.sum("total").alias("n")).first()["n"] or 0
     own = words_for(n_all)
     classes, end = own + BUCKETS + 1, own + BUCKETS
     most = [(r["word"], r["total"]) for r in seen.where(F.col("word") != END_WORD).orderBy(F.desc("total"), "word").limit(own).collect()]
-    common = {w: i for i, (w, _) in enumerate(most)}
-    top = docs.sparkSession.createDataFrame([(w, 0) for w, _ in most], "word string, common int")
+    common = [w for w, _ in most]
+    top = docs.sparkSession.createDataFrame([(w, 0) for w in common], "word string, common int")
     stats = seen.join(F.broadcast(top), "word", "left").groupBy(F.when(F.col("word") == END_WORD, end).otherwise(F.coalesce("common", own + bucket_column(F.col("word")))).alias("class")).agg(F.sum("total").alias("n"), F.count("*").alias("v")).collect()
     v_all = sum(r["v"] for r in stats)
     within_n, within_v, unigram = np.zeros(classes), np.zeros(classes), np.full(classes, 0.5)
@@ -322,13 +383,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             unigram[r["class"]] += r["n"]
         if own <= r["class"] < end:
             within_n[r["class"]], within_v[r["class"]] = r["n"], r["v"]
-    net = fitted(materialize(triples(shares, common, own), "triples"), classes, unigram)
+    begin, rounds = None, None
+    if n_all > BLOCK:
+        # of tokens more than the driver draws from: it takes whole shares, and rounds take theirs where they lie
+        drawn = [r["g"] for r in shares.select("g").orderBy(F.xxhash64("g")).limit(-(-BLOCK // SHARE)).collect()]
+        begin = triples(shares.where(F.col("g").isin(drawn)), common, own)
+        rounds = [triples(shares.where(F.pmod(F.xxhash64("g", F.lit(1)), F.lit(ROUNDS)) == k), common, own) for k in range(ROUNDS)]
+    net = fitted(triples(shares, common, own), classes, unigram, size=n_all, begin=begin, rounds=rounds)
 
     def run(source):
         for row in each_share(source):
-            tokens, kinds = row["tokens"], classes_of(row.pop("words"), common, own)
-            counts = np.zeros(len(kinds), np.int64)
-            counts[row["totals"][0]] = row["totals"][1]
+            tokens, kinds, counts = row["tokens"], classes_of(row.pop("words"), common, own), row["counts"].copy()
+            if row["totals"] is not None:
+                counts[row["totals"][0]] = row["totals"][1]
             base = np.log10((counts + 1) / (n_all + v_all + 1))
             rare = (kinds >= own) & (kinds < end)
             share = np.where(rare, np.log10((counts + 1) / (within_n[kinds] + within_v[kinds] + 1)), 0.0)
@@ -346,6 +413,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 }
             )
 
-    back = totals.repartition(p, "g").groupBy("g").agg(F.collect_list(F.struct("at", "total")).alias("totals"))
-    out = back.join(shares.repartition(p, "g").drop("counts"), "g").mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    # only words of several shares come back: of the others a share knows the count itself
+    back = each.join(totals.where("shares > 1").select("word", "total"), "word").groupBy("g").agg(F.collect_list(F.struct("at", "total")).alias("totals"))
+    out = shares.join(back, "g", "left").mapInArrow(lambda source: tidied(run(source)), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(outer_id(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")

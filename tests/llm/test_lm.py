@@ -37,6 +37,36 @@ def test_against_brute_force(spark):
     assert lm.score_documents(docs.limit(0)).collect() == []
 
 
+def test_score_against_plain_sums(spark, monkeypatch):
+    monkeypatch.setattr(lm, "words_for", lambda tokens: 8)
+    nets, real = [], lm.fitted
+    monkeypatch.setattr(lm, "fitted", lambda *a, **o: nets.append(real(*a, **o)) or nets[-1])
+    rows = corpus() + [(5, "the " * 400 + "cat"), (5, "repeated id")]
+    got = Counter((x.doc_id, x.n_tokens, round(x.score, 3)) for x in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    c = Counter(w for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in [*(t or "").lower().split(), None])
+    common = [w for w, _ in sorted(((w, n) for w, n in c.items() if w), key=lambda x: (-x[1], x[0]))[:8]]
+    kind = lambda w: 8 + lm.BUCKETS if w is None else common.index(w) if w in common else 8 + lm.bucket(w)
+    n, v = Counter(), Counter()
+    for w, k in c.items():
+        n[kind(w)] += k
+        v[kind(w)] += 1
+    want, net = Counter(), nets[0]
+    for i, t in rows:
+        total, before = 0.0, [8 + lm.BUCKETS] * 2
+        words = [*(t or "").lower().split(), None]
+        for w in words:
+            y = (net.inputs[before[1]] @ net.near + net.inputs[before[0]] @ net.far) @ net.outputs.T + net.bias
+            y = y.astype(float)
+            total += (y[kind(w)] - math.log(sum(math.exp(x) for x in y))) / math.log(10)
+            if w is not None and w not in common:
+                total += math.log10((c[w] + 1) / (n[kind(w)] + v[kind(w)] + 1))
+            before = [before[1], kind(w)]
+        want[(i, len(words), total)] += 1
+    assert len(got) == len(want)
+    for (i, k, x), (j, m, y) in zip(sorted(got, key=str), sorted(want, key=lambda z: str((z[0], z[1], round(z[2], 3))))):
+        assert (i, k) == (j, m) and math.isclose(x, y, rel_tol=1e-4, abs_tol=2e-3)
+
+
 def test_probabilities_are_normalised():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 6**3, 200)
