@@ -257,6 +257,7 @@ class Worker:
     join: Callable[[list], object]
     special: Callable[[int], object]
     n_words: int = WORDS
+    block: int = BLOCK
 
     def __post_init__(self):
         self.words, self.others = Memory(self.n_words), Memory(OTHERS)
@@ -271,20 +272,23 @@ class Worker:
         raw, offsets = utf8(texts)
         at = 0
         while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + self.block, "right")) - 1)
             index, cuts, names, plain = pieces(raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
             self.words.turn()
             self.others.turn()
-            words = [names[i] for i in np.flatnonzero(plain).tolist()]
-            others = [names[i] for i in np.flatnonzero(~plain).tolist()]
+            words, others = names[plain].tolist(), names[~plain].tolist()
             new = self.others.missing(others)
             plans = [self.bpe.words_of(s) for s in new]
-            fresh = self.words.missing(dict.fromkeys([*words, *[w for plan in plans for w in plan if isinstance(w, str)]]))
             known = self.words.young
-            known.update(zip(fresh, self.encode(fresh)))
+            for some in (words, {w for plan in plans for w in plan if isinstance(w, str)}):
+                fresh = self.words.missing(some)
+                known.update(zip(fresh, self.encode(fresh)))
             rest = self.others.young
             rest.update(zip(new, [self.join([known[w] if isinstance(w, str) else self.special(w) for w in plan]) for plan in plans]))
-            yield index, cuts, [known[s] if w else rest[s] for s, w in zip(names, plain.tolist())]
+            values = np.empty(len(names), object)
+            for which, have, of in ((plain, known, words), (~plain, rest, others)):
+                values[which] = np.fromiter(map(have.__getitem__, of), object, len(of))
+            yield index, cuts, values.tolist()
             at = end
 
 
@@ -297,7 +301,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Number of each piece of text, the first piece of each text (n + 1), the distinct pieces, and which of them are words as they are.
 
     A stretch without white space is cut where ASCII letters, letters from À to ÿ,
@@ -306,7 +310,7 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     that isn't ASCII) a stretch is one piece, left as it is.
     """
     if not len(raw):
-        return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64), [], np.zeros(0, bool)
+        return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64), np.zeros(0, object), np.zeros(0, bool)
     kind, low = _KIND[raw], _LOWER[raw]
     unsure = (raw == 39) | (raw == 60)
     high = raw >= 128
@@ -340,13 +344,15 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         first[start] = True
     starts = np.flatnonzero(first)
     dense = low[inside]
-    where = np.empty(len(starts) + 1, np.int32)
-    where[:-1], where[-1] = np.cumsum(inside, dtype=np.int64)[starts] - 1, len(dense)
+    last = inside.copy()
+    last[:-1] &= first[1:] | ~inside[1:]
+    where = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(np.flatnonzero(last) + 1 - starts, out=where[1:])
     coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(where), pa.py_buffer(dense)]).dictionary_encode()
     index = coded.indices.to_numpy()
     of = np.zeros(len(coded.dictionary), np.uint8)
     of[index] = kind[starts]
-    return index, np.searchsorted(starts, offsets), coded.dictionary.cast(pa.string()).to_pylist(), (of == 1) | (of == 3)
+    return index, np.searchsorted(starts, offsets), coded.dictionary.cast(pa.string()).to_numpy(zero_copy_only=False), (of == 1) | (of == 3)
 
 
 _vocabularies: dict[str, PairIndexBPE] = {}

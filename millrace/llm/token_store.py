@@ -22,6 +22,8 @@ CHUNK_BITS, RANK_BITS, FILE_TOKENS = 8, 512, 1 << 21
 END_ID = 1
 #: Words whose ids a worker remembers, about 200 bytes each.
 REMEMBERED = 500_000
+#: Text bytes that are cut into pieces at once.
+STORE_BLOCK = 8 << 20
 MAGIC = b"MRDAC\x00\x01\x00"
 
 
@@ -137,15 +139,22 @@ def library_worker(bpe: PairIndexBPE) -> Worker:
     from tokenizers import Tokenizer, pre_tokenizers
 
     words = Tokenizer(Tokenizer.from_file(bpe.path).model)
-    words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    last = np.array([p.endswith(bpe.suffix) for p in bpe.pieces])
 
     def encode(new: list[str]) -> list[bytes]:
         found = []
         for at in range(0, len(new), 4096):
-            found += [struct.pack(f"<{len(e)}I", *e.ids) for e in words.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)]
+            part = new[at : at + 4096]
+            ids = np.array(words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(last[ids]) + 1)).tolist()  # a word's last token says so
+            if len(ends) != len(part):
+                raise ValueError("words and word ends don't agree")
+            data = ids.tobytes()
+            found += [data[a:b] for a, b in zip([0, *ends], ends)]
         return found
 
-    return Worker(bpe, encode, b"".join, lambda i: struct.pack("<I", i), REMEMBERED)
+    return Worker(bpe, encode, b"".join, lambda i: struct.pack("<I", i), REMEMBERED, STORE_BLOCK)
 
 
 #: Encoders of this Python worker: tasks of one store follow each other, and words recur.
