@@ -80,12 +80,3 @@ def test_stage_drops_copies_with_scattered_edits(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert [x.doc_id for x in corpus_pipeline.simhash_dedup(spark, docs, "").collect()] == [0]
 
-
-def test_pipeline_by_similarity(spark, tmp_path, monkeypatch):
-    """The pipeline's brute-force test, with similarity in place of fingerprints in its reference."""
-    import millrace.llm.simhash
-    from tests.llm import test_pipeline
-
-    monkeypatch.setattr(millrace.llm.simhash, "fingerprint", lambda t: t.decode())
-    monkeypatch.setattr(test_pipeline, "brute_components", lambda texts, radius: brute_similar(texts))
-    test_pipeline.test_pipeline_against_brute_force(spark, tmp_path)

@@ -4,8 +4,8 @@ import random
 import pytest
 
 from tests.llm.test_native import brute_leaks
+from tests.llm.test_near import brute_similar
 from tests.llm.test_repeats import brute
-from tests.llm.test_simhash import brute_components
 
 pytest.importorskip("tokenizers")
 
@@ -13,7 +13,6 @@ pytest.importorskip("tokenizers")
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
     from millrace.llm.bpe import default_path
-    from millrace.llm.simhash import fingerprint
     from tokenizers import Tokenizer
 
     r = random.Random(12)
@@ -36,7 +35,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     got = {x.doc_id: (x.n_tokens, list(x.ids), x.decoded_sha256) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
 
     left = {i: t for i, t, _ in rows if t and any(c.isalpha() for c in t)}
-    groups = brute_components({i: fingerprint(t.encode()) for i, t in left.items()}, 4)
+    groups = brute_similar(left)
     left = {i: t for i, t in left.items() if groups[i] == i}
     kept = brute(list(left.items()), bytes.split, 20, b" ".join)
     left = {i: t if kept[i][1] == 0 else kept[i][3].decode() for i, t in left.items() if kept[i][1] < kept[i][0]}
@@ -51,6 +50,23 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert got == want
 
 
+def test_stages_with_other_columns_nulls_and_long_texts(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(3)
+    text = lambda n: " ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(3, 8))) for _ in range(n))
+    long = text(30_000)
+    rows = [(None, text(40), "en"), (None, text(40), None), (7, text(40), "en"), (7, text(40), "en"), (8, long, "en"), (9, long + " more", "en"), (10, None, None), (11, "", "en")]
+    names = "doc_id long, text string, lang string, row string, language int, score string, id int, first long, kept string, n int, gone long"
+    docs = spark.createDataFrame([(*x, "r", 1, "s", k, 2, "k", 3, 4) for k, x in enumerate(rows)], names).repartition(3)
+    spark.createDataFrame([(1, text(30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), names)
+    got = docs.collect()
+    assert sorted(x.id for x in got) == [0, 1, 2, 3, 4]
+    assert all((x.text, x.row, x.language, x.score, x.first, x.kept, x.n, x.gone) == (rows[x.id][1], "r", 1, "s", 2, "k", 3, 4) and x.lang == "en" for x in got)
+
+
 def test_empty_pipeline(spark, tmp_path):
     import corpus_pipeline
 
