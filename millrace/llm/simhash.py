@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -14,6 +16,8 @@ from millrace.operators.graph import connected_components
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Points that a leaf compares with one another, and shingles whose bits are counted at once.
 LEAF, CHUNK = 128, 1 << 15
+#: Points that a shard has at most where fingerprints are random.
+MEMBERS = 4096
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -159,25 +163,38 @@ def _across(p: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: Fo
             _compare(p, a[da == shell], b[lo:hi], radius, forest)
 
 
-def bands(radius: int) -> list[tuple[int, int]]:
-    """radius + 1 bit ranges (shift, width) that cover 64 bits: close fingerprints agree on one."""
-    cut = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cut, cut[1:])]
+def shard_masks(radius: int, points: int, members: int = MEMBERS) -> list[int]:
+    """Bit masks, one of which any two fingerprints within `radius` agree under.
+
+    64 bits are cut into radius + t blocks; close fingerprints differ in at most
+    `radius` of them and so agree in t. The masks are all choices of t blocks, for
+    the least t with which random fingerprints have `members` in a shard at most:
+    shards grow in number with the points, and not in size.
+    """
+    for t in range(1, radius + 4):
+        m = radius + t
+        cut = [64 * i // m for i in range(m + 1)]
+        blocks = [((1 << (b - a)) - 1) << a for a, b in zip(cut, cut[1:])]
+        masks = [sum(c) for c in itertools.combinations(blocks, t)]
+        if points <= members * 2 ** min(k.bit_count() for k in masks):
+            break
+    return masks
 
 
-def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(points: DataFrame, radius: int = RADIUS, members: int = MEMBERS) -> DataFrame:
     """(src, dst): edges among (node, fp) rows, distinct fps, that connect just those which links of `radius` connect.
 
-    Shards are the values of radius + 1 bands of bits: two close fingerprints agree
-    on a band, so each is sent to radius + 1 shards (a vantage shell at the top
-    would have to go to nine in seventeen shards, at every level). In a shard,
-    vantage-point trees find the pairs. A task keeps a spanning forest, so a dense
-    group gives as many edges as points and not all pairs.
+    Shards are the values that fingerprints have under each of a few masks
+    (`shard_masks`; a vantage shell at the top would have to go to nine in seventeen
+    shards, at every level). In a shard, vantage-point trees find the pairs. A task
+    keeps a spanning forest, so a dense group gives as many edges as points and not
+    all pairs.
     """
     p = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     p = max(p, partitions(points))
-    cells = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)).alias("cell")) for i, (shift, width) in enumerate(bands(radius))])
-    spread = points.withColumn("c", F.explode(cells)).select("node", "fp", "c.band", "c.cell").repartition(p, "band", "cell")
+    masks = np.array(shard_masks(radius, points.count(), members), np.uint64).view(np.int64).tolist()
+    cells = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(masks)])
+    spread = points.withColumn("c", F.explode(cells)).select("node", "fp", "c.band", "c.cell").repartition(p * -(-len(masks) // (radius + 1)), "band", "cell")
 
     def run(source):
         parts = [pa.Table.from_batches([b]) for b in source if b.num_rows]

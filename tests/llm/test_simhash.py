@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from millrace.llm.simhash import Forest, bands, fingerprint, near_duplicates, vantage_links
+from millrace.llm.simhash import Forest, fingerprint, links, near_duplicates, shard_masks, vantage_links
 
 
 def brute_fingerprint(text):
@@ -58,7 +58,34 @@ def test_vantage_trees_connect_exactly(seed):
     got = f.roots(np.arange(len(p)))
     assert len(set(zip(got.tolist(), [want[i] for i in range(len(p))]))) == len(set(want.values())) == len(set(got.tolist()))
     assert len(f.edges) == len(p) - len(set(want.values()))
-    assert sum(w for _, w in bands(4)) == 64
+
+
+@pytest.mark.parametrize("points, tables", [(10**6, 5), (10**9, 15), (10**11, 35)])
+def test_shards_grow_in_number_and_lose_no_pair(points, tables):
+    masks, r = shard_masks(4, points), random.Random(points)
+    assert len(masks) == tables and points >> min(m.bit_count() for m in masks) <= 4096
+    for _ in range(2000):
+        x = sum(1 << b for b in r.sample(range(64), 4))  # how two fingerprints differ
+        assert any(x & m == 0 for m in masks)
+
+
+@pytest.mark.parametrize("members", [4096, 1, 0.00001])
+def test_links_connect_the_same_whatever_the_shards(spark, members):
+    r = random.Random(4)
+    vals = {r.getrandbits(64) for _ in range(60)}
+    for b in sorted(vals)[:20]:
+        for _ in range(12):
+            b ^= 1 << r.randrange(64)
+            b ^= 1 << r.randrange(64)
+            vals.add(b)
+    points = dict(enumerate(sorted(vals)))
+    rows = [(i, int(np.array([v], np.uint64).view(np.int64)[0])) for i, v in points.items()]
+    forest = Forest(len(points))
+    for e in links(spark.createDataFrame(rows, "node long, fp long"), 4, members).collect():
+        assert (points[e.src] ^ points[e.dst]).bit_count() <= 4
+        forest.link(np.array([e.src]), np.array([e.dst]))
+    want, got = brute_components(points, 4), forest.roots(np.arange(len(points))).tolist()
+    assert len({(got[i], want[i]) for i in points}) == len(set(got)) == len(set(want.values()))
 
 
 def test_near_duplicates_against_brute_force(spark):
