@@ -12,95 +12,108 @@ from millrace.llm.repeats import Bytes, Repeats
 WIDTH, GRAM = 100, 32
 #: Bytes that one suffix array covers, unless a single key has more.
 ARRAY_BYTES = 1 << 20
+#: Times that all links are followed at once.
+ROUNDS = 64
 
 
-def suffix_array(data: np.ndarray, depth: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of `data` sorted by their first `depth` symbols, ties by position, and the rank class of each position.
+def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Suffixes of `data` sorted by their first `depth` symbols, ties by position, and (length, rank class of each position) of each step.
 
-    Doubling from eight packed symbols: ranks of 2k symbols come from two ranks of
+    Doubling from six packed symbols: ranks of 2k symbols come from two ranks of
     k, so the work is a few sorts of integers however repetitive the data is.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), []
     wide = np.zeros(n + 8, np.uint64)
     wide[:n] = data.astype(np.uint64) + np.uint64(1)
-    first = min(depth, 6)
+    have = min(depth, 6)
     value = np.zeros(n, np.uint64)
-    for i in range(first):
+    for i in range(have):
         value = value * np.uint64(1024) + wide[i : i + n]
     rank = np.unique(value, return_inverse=True)[1].astype(np.int64) + 1
-    have = first
+    steps = [(have, rank.astype(np.int32))]
     while have < depth:
         step = min(have, depth - have)
         later = np.zeros(n, np.int64)
         later[: n - step] = rank[step:]
         rank = np.unique(rank * np.int64(n + 2) + later, return_inverse=True)[1].astype(np.int64) + 1
         have += step
-    order = np.argsort(rank, kind="stable")
-    return order if starts is None else order[starts[order]], rank
-
-
-def previous_and_next_smaller(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place in suffix order, the nearest place before and after that holds a smaller position (-1, n: none)."""
-    n = len(order)
-    before, after = np.full(n, -1), np.full(n, n)
-    stack: list[int] = []
-    values = order.tolist()
-    for k in range(n):
-        while stack and values[stack[-1]] > values[k]:
-            after[stack.pop()] = k
-        if stack:
-            before[k] = stack[-1]
-        stack.append(k)
-    return before, after
-
-
-def lcp_array(data: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Kasai: common prefix of each suffix with the one before it in order (0 for the first)."""
-    n, h = len(data), 0
-    place, lcp = np.empty(n, np.int64), np.zeros(n, np.int64)
-    place[order] = np.arange(n)
-    d, o = data.tolist(), order.tolist()
-    for i, k in enumerate(place.tolist()):
-        if not k:
-            h = 0
-            continue
-        j = o[k - 1]
-        while i + h < n and j + h < n and d[i + h] == d[j + h]:
-            h += 1
-        lcp[k] = h
-        h = max(0, h - 1)
-    return lcp
-
-
-def longest_previous_factor(data: np.ndarray) -> np.ndarray:
-    """For each position, the longest prefix of its suffix that also starts earlier."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.int64)
-    order, _ = suffix_array(data, n)
-    lcp = lcp_array(data, order)
-    before, after = previous_and_next_smaller(order)
-    result = np.zeros(n, np.int64)
-    for k in range(n):
-        left = int(lcp[before[k] + 1 : k + 1].min()) if before[k] >= 0 else 0
-        right = int(lcp[k + 1 : after[k] + 1].min()) if after[k] < n else 0
-        result[order[k]] = max(left, right)
-    return result
+        steps.append((have, rank.astype(np.int32)))
+    return np.argsort(rank, kind="stable"), steps
 
 
-def previous_factor_reaches(data: np.ndarray, width: int, starts: np.ndarray) -> np.ndarray:
-    """Positions of `starts` whose longest previous factor is at least `width`.
+def lcp_array(data: np.ndarray, order: np.ndarray, steps: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Common prefix of each suffix in `order` with the one before it (0 for the first), up to the depth of the last step.
 
-    Suffix order is cut at `width` symbols with ties by position. Within a class
-    of equal prefixes the previous smaller position is then the neighbour, and
-    the next smaller one has a shorter common prefix: a position's factor reaches
-    `width` just where its neighbour before is of its class.
+    `order` may leave suffixes out. Two suffixes agree in the length of a step where
+    their classes do, so halving steps and then single symbols find the prefix.
+    """
+    out = np.zeros(len(order), np.int32)
+    if len(order) < 2:
+        return out
+    n, depth = len(data), steps[-1][0]
+    a, b, h = order[:-1], order[1:], np.zeros(len(order) - 1, np.int64)
+    whole = steps[-1][1][a] == steps[-1][1][b]
+    last = np.append(data.astype(np.int32), -1)  # past the end nothing agrees
+    for size, rank in [*reversed(steps[:-1]), *[(1, None)] * 5]:
+        i, j = a + h, b + h
+        inside = np.maximum(i, j) < n
+        i, j = np.minimum(i, n), np.minimum(j, n)
+        if rank is None:
+            agree = inside & (last[i] == last[j])
+        else:
+            inside &= np.maximum(i, j) + size <= n
+            agree = inside & (rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)])
+        h += size * agree
+    out[1:] = np.where(whole, depth, np.minimum(h, depth))
+    return out
+
+
+def smaller_before(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in suffix order the nearest place before it that holds a smaller position (-1: none), and the common prefix with that.
+
+    All places follow links at once, over places that hold greater positions; the
+    least common prefix is carried along.
     """
-    order, rank = suffix_array(data, width, starts)
-    r = rank[order]
-    return np.sort(order[1:][r[1:] == r[:-1]])
+    before, shared = np.arange(len(order)) - 1, lcp.copy()
+    todo = np.flatnonzero(before >= 0)
+    for _ in range(ROUNDS):
+        todo = todo[order[before[todo]] > order[todo]]
+        if not len(todo):
+            return before, shared
+        over = before[todo]
+        shared[todo], before[todo] = np.minimum(shared[todo], shared[over]), before[over]
+        gone = before[todo] < 0
+        shared[todo[gone]] = 0
+        todo = todo[~gone]
+    # long ascending chains: from the left, as links before are final
+    for k in todo.tolist():
+        j, least, own = int(before[k]), int(shared[k]), order[k]
+        while j >= 0 and order[j] > own:
+            j, least = int(before[j]), min(least, int(shared[j]))
+        before[k], shared[k] = j, least if j >= 0 else 0
+    return before, shared
+
+
+def longest_previous_factor(data: np.ndarray, depth: int | None = None, starts: np.ndarray | None = None) -> np.ndarray:
+    """For each position, or each of `starts`, the longest prefix of its suffix that also starts earlier (at one of them), up to `depth`.
+
+    The earlier suffix that shares most is the previous or the next in suffix
+    order that holds a smaller position. Positions that aren't asked for have 0.
+    """
+    n = len(data)
+    result = np.zeros(n, np.int32)
+    if not n:
+        return result
+    order, steps = suffix_array(data, n if depth is None else depth)
+    if starts is not None:
+        order = order[starts[order]]
+    lcp = lcp_array(data, order, steps)
+    left = smaller_before(order, lcp)[1]
+    right = smaller_before(order[::-1], np.concatenate([[0], lcp[1:][::-1]]).astype(np.int32))[1][::-1] if len(order) else left
+    result[order] = np.maximum(left, right)
+    return result
 
 
 def array_matcher(texts: dict[int, list], width: int):
@@ -117,7 +130,7 @@ def array_matcher(texts: dict[int, list], width: int):
             data[a : a + len(text)] = np.frombuffer(text, np.uint8)
             data[a + len(text)] = 256
             starts[a : a + len(text) - width + 1] = True
-        hits = previous_factor_reaches(data, width, starts)
+        hits = np.flatnonzero(longest_previous_factor(data, width, starts) >= width)
         owner = np.searchsorted(at, hits, "right") - 1
         where = hits - at[owner] + np.array([s for (_, s, _), _ in runs])[owner]
         new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (where[1:] != where[:-1] + 1)])[: len(hits)]

@@ -6,7 +6,7 @@ import pytest
 
 from millrace.llm.repeats import Bytes, Repeats, Words
 from millrace.llm.substring_dedup import SuffixAutomaton, automaton_matcher, dedup_word_spans, match_reference
-from millrace.llm.suffix_dedup import array_matcher, dedup_substrings, longest_previous_factor, previous_factor_reaches, suffix_array
+from millrace.llm.suffix_dedup import array_matcher, dedup_substrings, longest_previous_factor, suffix_array
 
 
 def brute(rows, tokens, width, join):
@@ -46,10 +46,18 @@ def test_lpf_matches_brute_force():
         want = [max([next(k for k in range(n - i + 1) if i + k == n or d[i + k] != d[j + k]) for j in range(i)], default=0) for i in range(n)]
         assert lpf.tolist() == want
         starts = np.arange(n) <= n - 4
-        assert previous_factor_reaches(d, 4, starts).tolist() == [i for i in range(n - 3) if lpf[i] >= 4]
+        assert (longest_previous_factor(d, 4, starts) >= 4).nonzero()[0].tolist() == [i for i in range(n - 3) if lpf[i] >= 4]
+        assert longest_previous_factor(d, 4).tolist() == np.minimum(lpf, 4).tolist()
         assert suffix_array(d, max(1, n))[0].tolist() == sorted(range(n), key=lambda i: d[i:].tolist())
 
 
+def test_lpf_of_long_chains():
+    for text in (b"a" * 3000, b"ab" * 1500, b"abc" * 900 + b"zz" + b"abc" * 900, b"x" * 50 + b"a" * 999 + b"x" * 60):
+        d = np.frombuffer(text, np.uint8)
+        lpf, longest = longest_previous_factor(d, 40), np.array([max((k for k in range(41) if text.find(text[i : i + k]) < i and i + k <= len(text)), default=0) for i in range(len(text))])
+        assert lpf.tolist() == longest.tolist()
+
+
 def test_automaton_statistics():
     a = SuffixAutomaton()
     assert [a.feed(x) for x in "abcabca"] == [0, 0, 0, 1, 2, 3, 4]
