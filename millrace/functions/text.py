@@ -32,6 +32,39 @@ def ngrams(words: Column, n: int) -> Column:
     return let(words, grams)
 
 
+def hashed_ngrams(words: Column, n: int) -> Column:
+    """Distinct 64-bit hashes of n-grams; fewer than n words give none."""
+
+    def grams(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(w) - (n - 1))
+        return F.when(F.size(w) >= n, F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(w, i, n))))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), grams)
+
+
+def within_size(source: Column, most_bytes: int, most_lines: int) -> Column:
+    """Whether a source has at most so many bytes in UTF-8 and so many lines."""
+    return (F.octet_length(source) <= most_bytes) & (F.size(F.split(source, "\n")) <= most_lines)
+
+
+def line_span(first: Column, last: Column) -> Column:
+    """Lines from the first to the last, both included."""
+    return last - first + 1
+
+
+def styled_prompt(style: Column, base: str, variants: dict[str, dict[str, str]]) -> Column:
+    """The system prompt of a style: `base` with that style's passages replaced. An unknown style is an error, as is a passage that `base` lacks."""
+    texts = {}
+    for name, changes in variants.items():
+        texts[name] = base
+        for old, new in changes.items():
+            if old not in base:
+                raise ValueError(f"style {name} replaces a passage that the prompt doesn't have")
+            texts[name] = texts[name].replace(old, new)
+    known = F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])
+    return F.coalesce(F.element_at(known, style), F.raise_error(F.concat(F.lit("no such prompt style: "), F.coalesce(style, F.lit("null")))))
+
+
 def ascii_share(text: Column) -> Column:
     """Share of ASCII characters; an empty text counts as one character, none of them ASCII."""
     plain = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))

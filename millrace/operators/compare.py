@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.numeric import mcnemar_exact
 from millrace.operators.score import grounded_score
+from millrace.operators.split import ranked
 
 REPS = 2000
 
@@ -15,17 +16,17 @@ REPS = 2000
 def bootstrap_means(diffs: DataFrame, value: str = "d", reps: int = REPS, seed: int = 0) -> DataFrame:
     """(rep, mean): means of resamples with replacement, as many draws as items.
 
-    Draw i of rep r takes item crc(seed:r:i) mod n, so any engine draws alike. The
-    n draws of a rep are n rows that meet the items by number; reps * n rows are
-    aggregated where they arise, and only their sums are shuffled.
+    Draw i of rep r takes the item whose number is the first 32 bits of
+    md5(seed:(r * n + i)) mod n, so any engine draws alike. The n draws of a rep are
+    n rows that meet the items by number; reps * n rows are aggregated where they
+    arise, and only their sums are shuffled.
     """
-    w = W.orderBy("id")
-    items = diffs.select(F.col(value).alias("d"), (F.row_number().over(w) - 1).alias("k"))
+    items = ranked(diffs.select("id", F.col(value).alias("d")), "id").select("d", F.col("__i").alias("k"))
     n = diffs.count()
     if not n:
         return diffs.sparkSession.createDataFrame([], "rep int, mean double")
     spark = diffs.sparkSession
-    draws = spark.range(reps * n).select((F.col("id") / n).cast("int").alias("rep"), (F.crc32(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")) % n).cast("int").alias("k"))
+    draws = spark.range(reps * n).select((F.col("id") / n).cast("int").alias("rep"), (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % n).alias("k"))
     return draws.join(items, "k").groupBy("rep").agg((F.sum("d") / n).alias("mean"))
 
 
@@ -82,3 +83,9 @@ def compare_arms(a: DataFrame, b: DataFrame, grounded: bool = False, reps: int =
         means = ground.agg(F.avg("ga").alias("grounded_a"), F.avg("gb").alias("grounded_b"))
         out = out.crossJoin(means).crossJoin(named(paired_bootstrap(ground.select("id", (F.col("ga") - F.col("gb")).alias("d")), "d", reps, seed), "grounded_diff"))
     return out
+
+
+def drifted(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, before, after): items whose validity differs when they are scored again; without a score an item isn't valid."""
+    side = lambda df, name: df.select("id", F.coalesce(F.col("score.valid"), F.lit(False)).alias(name))
+    return side(old, "before").join(side(new, "after"), "id").where("before <> after")

@@ -111,9 +111,21 @@ def condition_table(records: DataFrame) -> DataFrame:
 
 
 def oracle_roll_up(candidates: DataFrame) -> DataFrame:
-    """One row: sums of the repair counters, and all lengths of written values in order."""
+    """One row: sums of the repair counters, and how many written values there are of each length, in order of length."""
     sums = [F.coalesce(F.sum(f"oracle.{c}"), F.lit(0)).cast("long").alias(c) for c in "sites recorded replaced already_correct too_long unliteral".split()]
-    return candidates.agg(*sums, F.array_sort(F.flatten(F.collect_list("oracle.repr_lengths"))).alias("repr_lengths"))
+    lengths = candidates.select(F.explode("oracle.repr_lengths").alias("length")).groupBy("length").agg(F.count("*").alias("n"))
+    # a row for each distinct length, which are bounded by the longest value that is written
+    return candidates.agg(*sums).crossJoin(lengths.agg(F.array_sort(F.collect_list(F.struct("length", "n"))).alias("repr_lengths")))
+
+
+def most_common(rows: DataFrame, key: str, pos: str) -> DataFrame:
+    """(key, n), the commonest first; of equally common ones that which came first by `pos`."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(pos).alias("__first")).orderBy(F.desc("n"), "__first").drop("__first")
+
+
+def live_floor(scores: DataFrame, least: int) -> DataFrame:
+    """Rows with at least so many mutants that aren't equivalent."""
+    return scores.where(F.col("mutants_total") - F.col("mutants_equivalent") >= least)
 
 
 def kill_difference(base: DataFrame, tuned: DataFrame) -> DataFrame:

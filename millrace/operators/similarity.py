@@ -7,24 +7,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.text import ngrams, tokens
+from millrace.functions.text import hashed_ngrams, tokens
 from millrace.operators.graph import connected_components
+from millrace.plans.scratch import materialize
 
-#: Rows of a reference feature table up to which it is broadcast.
+#: Rows of a reference feature table up to which it is broadcast; a row is two numbers, so 64 MB at most.
 BROADCAST_ROWS = 2_000_000
+#: Numbers of a block of reference vectors that is broadcast: 32 MB.
+BLOCK_NUMBERS = 4 << 20
 LAYERS = ("ast-exact", "ngram", "ast-jaccard", "cosine")
 
 
+def word_sets(rows: DataFrame, id_col: str, text: Column, n: int) -> DataFrame:
+    """(id, s): the distinct 64-bit hashes of a row's n-grams of words; equal hashes count as equal grams."""
+    return rows.select(F.col(id_col).alias("id"), hashed_ngrams(tokens(text), n).alias("s"))
+
+
 def word_features(rows: DataFrame, id_col: str, text: Column, n: int) -> DataFrame:
-    """(id, f): a row for each distinct n-gram of words."""
-    return rows.select(F.col(id_col).alias("id"), F.explode(ngrams(tokens(text), n)).alias("f"))
+    """(id, f): a row for each distinct n-gram of words, as its 64-bit hash."""
+    return word_sets(rows, id_col, text, n).select("id", F.explode("s").alias("f"))
 
 
 def _small(reference: DataFrame) -> DataFrame:
-    """Broadcast a reference whose rows are counted and few; beyond, the join shuffles."""
+    """Broadcast a reference whose rows are numbers, counted and few; beyond, and where a column has no bounded size, the join shuffles."""
+    if any(t not in ("bigint", "int", "double") for _, t in reference.dtypes):
+        return reference
     return F.broadcast(reference) if reference.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else reference
 
 
@@ -40,28 +49,32 @@ def exact_matches(rows: DataFrame, reference: DataFrame, key: str) -> DataFrame:
     return rows.join(last, key).select("id", "ref")
 
 
-def _prefixes(features: DataFrame, threshold: float) -> DataFrame:
-    """(id, f, n, nth, size of prefix): features from the rarest on; a pair as similar as `threshold` shares one of its prefixes."""
-    count = features.groupBy("f").agg(F.count("*").alias("df"))
-    ranked = features.join(count, "f").withColumn("n", F.count("*").over(W.partitionBy("id"))).withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy("df", "f")))
-    return ranked.where(F.col("nth") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
-
-
 def similar_pairs(features: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity), a < b: all pairs of sets whose Jaccard similarity is at least `threshold`.
 
-    Only the rarest features of each set are joined, as many as are needed for
-    such a pair to share one; the overlap of the candidates is then counted on
-    whole sets. Sets so unlike in size that they can't reach it aren't candidates.
+    Sets come as (id, f) rows or as (id, s) arrays of distinct hashes, and are
+    written once. Only the rarest features of each set are joined, as many as are
+    needed for such a pair to share one; features of one set alone fill these places
+    without being joined. Candidates so unlike in size that they can't reach the
+    threshold fall out, and the overlap of the others is counted on whole sets.
     """
-    prefix = _prefixes(features, threshold).select("id", "f", "n")
+    if "s" in features.columns:
+        sets = features.where(F.size("s") > 0)
+    else:
+        hashed = F.col("f") if dict(features.dtypes)["f"] == "bigint" else F.xxhash64("f")
+        sets = features.groupBy("id").agg(F.collect_set(hashed).alias("s"))
+    sets = materialize(sets.select("id", "s", F.size("s").alias("n")), "sets")
+    each = sets.select("id", F.explode("s").alias("f"))
+    common = each.groupBy("f").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(common, "f").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "f"))).alias("shared"))
+    most = F.floor(F.size("shared") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
+    prefix = materialize(shared.join(sets.select("id", "n"), "id").where(most > 0).select("id", "n", F.explode(F.slice("shared", F.lit(1), most)["f"]).alias("f")), "prefixes")
     a, b = prefix.select(F.col("id").alias("a"), "f", F.col("n").alias("na")), prefix.select(F.col("id").alias("b"), "f", F.col("n").alias("nb"))
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
-    pairs = a.join(b, "f").where(fits).select("a", "b", "na", "nb").distinct()
-    sets = features.groupBy("id").agg(F.collect_set("f").alias("s"))
+    pairs = a.join(b, "f").where(fits).select("a", "b").distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    k = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (k / (F.col("na") + F.col("nb") - k)).alias("similarity")).where(F.col("similarity") >= threshold)
+    k = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("k"))
+    return k.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def similar_to_reference(features: DataFrame, reference: DataFrame, threshold: float) -> DataFrame:
@@ -72,31 +85,48 @@ def similar_to_reference(features: DataFrame, reference: DataFrame, threshold: f
     return shared.select("id", "ref", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def cosine_bands(left: DataFrame, right: DataFrame, hard: float, review: float, block: int = 2048) -> DataFrame:
+def cosine_bands(left: DataFrame, right: DataFrame, hard: float, review: float, block: int | None = None) -> DataFrame:
     """(id, ref, cosine, band): all pairs of (id, v) rows with cosine at least `review`; band `hard` from `hard` on.
 
-    The reference side goes round as blocks of vectors: rows are keyed to every
-    block of it (a block number, not a row), and a block's products with a batch are
-    one matrix product. Equal ids in both sides are compared too; drop them if the
-    sides are one table.
+    The reference side is cut into blocks of `block` vectors, or of BLOCK_NUMBERS
+    numbers, that are broadcast one after the other; the left side is read once for
+    each and never shuffled or copied, and products are matrix products. Rows
+    without a vector match nothing. Equal ids in both sides are compared too; drop
+    them if the sides are one table.
     """
-    blocks, chunks = (max(1, -(-side.count() // block)) for side in (right, left))
-    numbered = right.select(F.col("id").alias("ref"), "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("g"))
-    packed = numbered.groupBy("g").agg(F.collect_list(F.struct("ref", "v")).alias("refs"))
-    rows = left.select("id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("g")).groupBy("g", F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("h")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-
-    def run(source: Iterator[pa.RecordBatch]):
-        for batch in source:
-            for i in range(batch.num_rows):
-                a, b = batch.column("rows")[i].values, batch.column("refs")[i].values
-                x, y = (np.array(s.field("v").to_pylist(), np.float64) for s in (a, b))
-                x, y = (m / np.where((n := np.sqrt((m * m).sum(axis=1, keepdims=True))) == 0, 1, n) for m in (x, y))
-                c = x @ y.T
-                r, q = np.nonzero(c >= review)
-                ids, refs = a.field("id"), b.field("ref")
-                yield pa.RecordBatch.from_pydict({"id": ids.take(pa.array(r)), "ref": refs.take(pa.array(q)), "cosine": pa.array(c[r, q])})
-
-    found = rows.join(packed, "g").select("rows", "refs").mapInArrow(run, f"id {left.schema['id'].dataType.simpleString()}, ref {right.schema['id'].dataType.simpleString()}, cosine double")
+    right = right.where("v IS NOT NULL").select(F.col("id").alias("ref"), F.col("v").cast("array<double>").alias("v"))
+    left = left.where("v IS NOT NULL").select("id", F.col("v").cast("array<double>").alias("v"))
+    size = right.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    per = block or max(1, BLOCK_NUMBERS // max(1, size["d"] or 1))
+    blocks = max(1, -(-size["n"] // per))
+    ddl = f"id {left.schema['id'].dataType.simpleString()}, ref {right.schema['ref'].dataType.simpleString()}, cosine double"
+
+    def unit(v: pa.Array) -> np.ndarray:
+        m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return m / np.where(n == 0, 1, n)
+
+    found = None
+    for b in range(blocks):
+        part = right.where(F.pmod(F.xxhash64("ref"), F.lit(blocks)) == b).toArrow().combine_chunks()
+        if not part.num_rows:
+            continue
+        sent = left.sparkSession.sparkContext.broadcast((part["ref"].combine_chunks(), unit(part["v"].combine_chunks())))
+
+        def run(source: Iterator[pa.RecordBatch], sent=sent):
+            refs, y = sent.value
+            step = max(1, BLOCK_NUMBERS // len(y))
+            for batch in source:
+                for at in range(0, batch.num_rows, step):
+                    rows = batch.slice(at, step)
+                    c = unit(rows.column("v")) @ y.T
+                    r, q = np.nonzero(c >= review)
+                    yield pa.RecordBatch.from_pydict({"id": rows.column("id").take(pa.array(r)), "ref": refs.take(pa.array(q)), "cosine": pa.array(c[r, q])})
+
+        made = left.mapInArrow(run, ddl)
+        found = made if found is None else found.unionByName(made)
+    if found is None:
+        found = left.sparkSession.createDataFrame([], ddl)
     return found.withColumn("band", F.when(F.col("cosine") >= hard, "hard").otherwise("review"))
 
 

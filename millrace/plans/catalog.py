@@ -67,14 +67,13 @@ def decontam_ngram(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), F.col("ref").alias("item_id"), "k")
 
 
-@query("SELECT doc_id, (SELECT max(item_id) FROM benchmark b WHERE sha256(b.text) = sha256(d.text)) AS item_id FROM documents d")
+@query("SELECT doc_id, (SELECT max(b.doc_id) FROM documents b WHERE b.source = 'src0' AND sha256(b.text) = sha256(d.text)) AS ref_id FROM documents d WHERE source <> 'src0'")
 def decontam_exact(spark, sf_dir):
-    """Each document with the last benchmark item of the same text, or null."""
-    key = text.fingerprint(F.col("text")).alias("h")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), key)
-    ref = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("item_id").alias("pos"), key)
-    hits = similarity.exact_matches(docs, ref, "h")
-    return docs.select("id").join(hits, "id", "left").select(F.col("id").alias("doc_id"), F.col("ref").alias("item_id"))
+    """Each document of the other sources with the last document of src0 that has the same text, or null."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.col("doc_id").alias("pos"), text.fingerprint(F.col("text")).alias("h"))
+    rest = docs.where("source <> 'src0'").select("id", "h")
+    hits = similarity.exact_matches(rest, docs.where("source = 'src0'"), "h")
+    return rest.select("id").join(hits, "id", "left").select(F.col("id").alias("doc_id"), F.col("ref").alias("ref_id"))
 
 
 def jaccard_sql(a: str, b: str, condition: str = "true") -> str:
@@ -152,7 +151,7 @@ def _edges(spark, sf_dir):
     first = docs.groupBy("h").agg(F.min("doc_id").alias("a"))
     exact = docs.join(first, "h").where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
     firsts = docs.join(first.select(F.col("a").alias("doc_id")), "doc_id", "left_semi")
-    near = similarity.similar_pairs(similarity.word_features(firsts, "doc_id", F.col("text"), 5), 0.85)
+    near = similarity.similar_pairs(similarity.word_sets(firsts, "doc_id", F.col("text"), 5), 0.85)
     return similarity.first_layer(("exact", exact), ("jaccard", near))
 
 
@@ -179,15 +178,16 @@ def dup_clusters(spark, sf_dir):
     return _families(spark, sf_dir).select(F.col("id").alias("doc_id"), "family", (F.col("id") == F.col("family")).alias("kept"))
 
 
-@query(f"""WITH RECURSIVE {_PAIRS_SQL}, own AS (SELECT min(doc_id) OVER (PARTITION BY source) AS a, doc_id AS b FROM documents),
+@query(f"""WITH RECURSIVE {_PAIRS_SQL}, d AS (SELECT doc_id, source || ':' || doc_id // 100 AS owner FROM documents), own AS (SELECT min(doc_id) OVER (PARTITION BY owner) AS a, doc_id AS b FROM d),
 e AS (SELECT a, b FROM edges UNION SELECT a, b FROM own), arcs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach AS (SELECT min(doc_id) AS id, min(doc_id) AS r, source FROM documents GROUP BY source UNION SELECT id, arcs.b, source FROM reach JOIN arcs ON arcs.a = reach.r),
-fam AS (SELECT source, min(r) AS family FROM reach GROUP BY source)
-SELECT doc_id, family FROM documents JOIN fam USING (source)""")
+reach AS (SELECT min(doc_id) AS id, min(doc_id) AS r, owner FROM d GROUP BY owner UNION SELECT id, arcs.b, owner FROM reach JOIN arcs ON arcs.a = reach.r),
+fam AS (SELECT owner, min(r) AS family FROM reach GROUP BY owner)
+SELECT doc_id, family FROM d JOIN fam USING (owner)""")
 def families(spark, sf_dir):
-    """Families by common source or similar text."""
+    """Families by common owner (a source and a hundred of ids) or similar text."""
     docs = table(spark, sf_dir, "documents")
-    edges = _edges(spark, sf_dir).select("a", "b").unionByName(similarity.same_owner_edges(docs, "doc_id", F.col("source")))
+    owner = F.concat("source", F.lit(":"), F.floor(F.col("doc_id") / 100).cast("string"))
+    edges = _edges(spark, sf_dir).select("a", "b").unionByName(similarity.same_owner_edges(docs, "doc_id", owner))
     return similarity.groups(docs, "doc_id", edges).select(F.col("id").alias("doc_id"), "family")
 
 
@@ -251,10 +251,16 @@ def ascii_filter(spark, sf_dir):
 _TEST_SQL = "list_has_any(string_split(lower(url), '/'), [{}]) OR starts_with(string_split(lower(url), '/')[-1], 'test_') OR ends_with(lower(url), '_test.py')".format(", ".join(f"'{p}'" for p in text.TEST_PARTS))
 
 
-@query(f"SELECT page_id, {_TEST_SQL} OR string_split(lower(url), '/')[-1] = 'conftest.py' AS test_code, CASE WHEN len(string_split(rtrim(url, '/'), '/')) > 4 THEN string_split(rtrim(url, '/'), '/')[4] ELSE url END AS owner FROM pages")
+_URL_SQL = "(SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '/tests/x.py' WHEN 1 THEN '/a/test_b.py' WHEN 2 THEN '/a/b_test.py' WHEN 3 THEN '/attest/b.py' ELSE '' END AS url FROM pages)"
+
+
+@query(f"SELECT page_id, {_TEST_SQL} OR string_split(lower(url), '/')[-1] = 'conftest.py' AS test_code, CASE WHEN len(string_split(rtrim(url, '/'), '/')) > 4 THEN string_split(rtrim(url, '/'), '/')[4] ELSE url END AS owner FROM {_URL_SQL}")
 def path_filter(spark, sf_dir):
-    """Whether a page's address looks like test code, and its owner part."""
-    return table(spark, sf_dir, "pages").select("page_id", text.is_test_code(F.col("url")).alias("test_code"), text.owner(F.col("url")).alias("owner"))
+    """Whether a file under a page's address looks like test code, and its owner part."""
+    q = F.col("page_id") % 5
+    end = F.when(q == 0, "/tests/x.py").when(q == 1, "/a/test_b.py").when(q == 2, "/a/b_test.py").when(q == 3, "/attest/b.py").otherwise("")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("url", end).alias("url"))
+    return pages.select("page_id", text.is_test_code(F.col("url")).alias("test_code"), text.owner(F.col("url")).alias("owner"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1997-01-01'")
@@ -505,16 +511,31 @@ def paired_difference(spark, sf_dir):
     return d.agg(F.count("*").alias("n"), r6(F.avg(F.col("sa") - F.col("sb"))).alias("mean"))
 
 
-@query()
+def bootstrap_sql(name: str, source: str) -> str:
+    """A one-row table `name` (n, mean, lo, hi) of the column d of `source`, in the order of id."""
+    return f"""{name}_i AS (SELECT row_number() OVER (ORDER BY id) - 1 AS k, d FROM {source}), {name}_n AS (SELECT count(*) AS n, avg(d) AS mean FROM {name}_i),
+{name}_m AS (SELECT x.i // x.n AS rep, sum(d) / max(x.n) AS mean FROM (SELECT unnest(range(2000 * n)) AS i, n FROM {name}_n) x JOIN {name}_i y ON y.k = CAST('0x' || substr(md5('0:' || x.i), 1, 8) AS BIGINT) % x.n GROUP BY 1),
+{name} AS (SELECT n, mean, (SELECT list_sort(list(mean))[51] FROM {name}_m) AS lo, (SELECT list_sort(list(mean))[1951] FROM {name}_m) AS hi FROM {name}_n)"""
+
+
+@query(f"WITH {_PAIR_SQL}, d AS (SELECT id, CASE WHEN va THEN sa ELSE 0 END - CASE WHEN vb THEN sb ELSE 0 END AS d FROM p), {bootstrap_sql('b', 'd')} SELECT n, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM b")
 def paired_bootstrap(spark, sf_dir):
-    """Mean difference with a bootstrap interval; CRC draws aren't for SQL, tests hold them against a brute-force version."""
+    """Mean difference with a bootstrap interval."""
     a, b = _pair(spark, sf_dir)
     d = compare.paired(a, b).select("id", (F.coalesce("sa", F.lit(0.0)) - F.coalesce("sb", F.lit(0.0))).alias("d"))
     out = compare.paired_bootstrap(d)
     return out.select("n", *[r6(F.col(c)).alias(c) for c in ("mean", "lo", "hi")])
 
 
-@query()
+_BOOT_COLUMNS = ", ".join(f"{t}.n AS {t}_n, round({t}.mean, 6) AS {t}_mean, round({t}.lo, 6) AS {t}_lo, round({t}.hi, 6) AS {t}_hi" for t in ("validity_diff", "score_diff", "grounded_diff"))
+
+
+@query(f"""WITH RECURSIVE {_PAIR_SQL}, k AS (SELECT count(*) FILTER (va AND NOT vb) AS b, count(*) FILTER (vb AND NOT va) AS c FROM p),
+t AS (SELECT 0 AS i, b + c AS n, least(b, c) AS k, pow(0.5, b + c) AS term, pow(0.5, b + c) AS s FROM k UNION ALL SELECT i + 1, n, k, term * (n - i) / (i + 1), s + term * (n - i) / (i + 1) FROM t WHERE i < k),
+dv AS (SELECT id, CAST(va AS INT) - CAST(vb AS INT) AS d FROM p), ds AS (SELECT id, sa - sb AS d FROM p WHERE va AND vb), dg AS (SELECT id, CASE WHEN va THEN sa ELSE 0 END - CASE WHEN vb THEN sb ELSE 0 END AS d FROM p),
+{bootstrap_sql('validity_diff', 'dv')}, {bootstrap_sql('score_diff', 'ds')}, {bootstrap_sql('grounded_diff', 'dg')},
+head AS (SELECT round(avg(CAST(va AS INT)), 6) AS validity_a, round(avg(CAST(vb AS INT)), 6) AS validity_b, count(*) FILTER (va AND vb) AS both_valid, round(avg(CASE WHEN va THEN sa ELSE 0 END), 6) AS grounded_a, round(avg(CASE WHEN vb THEN sb ELSE 0 END), 6) AS grounded_b FROM p)
+SELECT head.*, k.b AS only_a, k.c AS only_b, round(CASE WHEN k.b + k.c = 0 THEN 1 ELSE least(1, 2 * (SELECT max(s) FROM t)) END, 6) AS mcnemar_p, {_BOOT_COLUMNS} FROM head, k, validity_diff, score_diff, grounded_diff""")
 def compare_arms(spark, sf_dir):
     """The whole comparison of two arms, grounded."""
     a, b = _pair(spark, sf_dir)
@@ -522,6 +543,14 @@ def compare_arms(spark, sf_dir):
     return out.select(*[r6(F.col(c)).alias(c) if t == "double" else c for c, t in out.dtypes])
 
 
+@query("""WITH f AS (SELECT user_id AS id, arg_min(value, event_id) > 10 AS before, arg_max(value, event_id) > 10 AS after FROM events GROUP BY user_id) SELECT id, before, after FROM f WHERE before <> after""")
+def validity_drift(spark, sf_dir):
+    """Items whose first and last score differ in validity."""
+    e = table(spark, sf_dir, "events")
+    side = lambda f: e.groupBy(F.col("user_id").alias("id")).agg(f("value", "event_id").alias("v")).select("id", F.struct((F.col("v") > 10).alias("valid")).alias("score"))
+    return compare.drifted(side(F.min_by), side(F.max_by))
+
+
 @query("""WITH c AS (SELECT user_id AS step, avg(CAST(value > 20 AS INT)) AS validity, round(avg(value), 6) AS mutation_score FROM events GROUP BY user_id)
 SELECT step, round(validity, 6) AS validity, mutation_score FROM c ORDER BY c.validity DESC, c.mutation_score DESC, step LIMIT 1""")
 def best_checkpoint(spark, sf_dir):
@@ -536,16 +565,137 @@ def lr_schedule(spark, sf_dir):
     return spark.range(500).select(F.col("id").alias("step"), F.round(numeric.learning_rate(F.col("id"), 2e-4, 30, 400, 1e-6), 12).alias("rate"))
 
 
+# lookups, sets of rows, caps
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def pool_lookup(spark, sf_dir):
+    """Each order with its customer; an order without one would be an error."""
+    pool = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return split.looked_up(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), pool, "o_custkey").select("o_orderkey", "c_name")
+
+
+@query("SELECT doc_id FROM documents WHERE octet_length(encode(text)) <= 2000 AND len(string_split(text, chr(10))) <= 5")
+def size_caps(spark, sf_dir):
+    """Documents of at most 2000 bytes and five lines."""
+    return table(spark, sf_dir, "documents").where(text.within_size(F.col("text"), 2000, 5)).select("doc_id")
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS span FROM documents")
+def line_spans(spark, sf_dir):
+    """Lines from the first to the last of each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.line_span(F.lit(1), F.size(F.split("text", "\n"))).cast("long").alias("span"))
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 25")
+def first_rows(spark, sf_dir):
+    """The first 25 documents in a stated order: a head."""
+    return split.head(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 25, "n_chars", "doc_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (3, 5, 8)")
+def without_exemplars(spark, sf_dir):
+    """Documents that aren't examples of the prompt."""
+    return split.without_exemplars(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", [3, 5, 8])
+
+
+@query("SELECT user_id AS id FROM events WHERE event_type = 'click' UNION SELECT user_id FROM events WHERE value > 90 UNION SELECT item_id FROM benchmark")
+def exclusion_union(spark, sf_dir):
+    """Ids that any of three sources excludes."""
+    e = table(spark, sf_dir, "events")
+    return split.all_of(e.where("event_type = 'click'").select(F.col("user_id").alias("id")), e.where("value > 90").select(F.col("user_id").alias("id")), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")))
+
+
+@query("SELECT id, count(*) AS n FROM (SELECT user_id AS id FROM events WHERE value > 40 UNION ALL SELECT user_id FROM events WHERE value < 60) GROUP BY id")
+def appended_runs(spark, sf_dir):
+    """Rows of two runs, repeats included, counted by id."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "value")
+    return split.appended(e.where("value > 40"), e.where("value < 60")).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY sha256('4:' || doc_id), doc_id LIMIT 30)")
+def capped_draw(spark, sf_dir):
+    """Thirty English documents by hash, back in their own order."""
+    return split.capped_draw(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "4", 30, "doc_id")
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def most_common(spark, sf_dir):
+    """Languages, the commonest first."""
+    return score.most_common(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id")
+
+
+@query(f"WITH {_SCORES_SQL} SELECT id, mutants_total, mutants_equivalent FROM scores WHERE mutants_total - mutants_equivalent >= 3")
+def live_floor(spark, sf_dir):
+    """Suites with three mutants or more that aren't equivalent."""
+    return score.live_floor(_scores(spark, sf_dir), 3).select("id", "mutants_total", "mutants_equivalent")
+
+
+@query("""SELECT event_type AS condition, count(*) AS n, count(*) FILTER (event_id % 9 = 0) AS unparsed, count(*) FILTER (event_id % 4 = 1) AS truncated, count(*) FILTER (event_id % 10 = 3) AS pytest_import,
+round(avg(event_id % 300), 6) AS mean_tokens, round(avg(value), 6) AS mean_seconds FROM events GROUP BY event_type""")
+def condition_table(spark, sf_dir):
+    """Counts and means of generations by condition."""
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("condition"), (k % 9 != 0).alias("parsed"), (k % 4 == 1).alias("truncated"), (k % 10 == 3).alias("pytest_import"), F.struct((k % 300).alias("completion_tokens"), F.col("value").alias("seconds")).alias("generation"))
+    return score.condition_table(e).withColumns({c: r6(F.col(c)) for c in ("mean_tokens", "mean_seconds")})
+
+
+@query("""WITH e AS (SELECT event_id AS k FROM events), l AS (SELECT k % 7 AS length FROM e UNION ALL SELECT k % 40 FROM e WHERE k % 3 = 0), c AS (SELECT length, count(*) AS n FROM l GROUP BY length)
+SELECT CAST(sum(k % 5) AS BIGINT) AS sites, CAST(sum(k % 4) AS BIGINT) AS recorded, CAST(sum(k % 3) AS BIGINT) AS replaced, count(*) FILTER (k % 2 = 1) AS already_correct, CAST(0 AS BIGINT) AS too_long, count(*) AS unliteral,
+(SELECT string_agg(length || 'x' || n, ' ' ORDER BY length) FROM c) AS lengths FROM e""")
+def oracle_roll_up(spark, sf_dir):
+    """Repair counters summed, and written values counted by length."""
+    k = F.col("event_id")
+    counters = {"sites": k % 5, "recorded": k % 4, "replaced": k % 3, "already_correct": k % 2, "too_long": F.lit(0), "unliteral": F.lit(1)}
+    lengths = F.when(k % 3 == 0, F.array(k % 7, k % 40)).otherwise(F.array(k % 7))
+    out = score.oracle_roll_up(table(spark, sf_dir, "events").select(F.struct(*[c.cast("long").alias(n) for n, c in counters.items()], lengths.alias("repr_lengths")).alias("oracle")))
+    shown = F.array_join(F.transform("repr_lengths", lambda x: F.concat(x["length"].cast("string"), F.lit("x"), x["n"].cast("string"))), " ")
+    return out.withColumn("lengths", shown).drop("repr_lengths")
+
+
+_LAYERS_SQL = f"""l AS (SELECT d.doc_id, b.item_id, 0 AS i FROM documents d JOIN benchmark b ON sha256(d.text) = sha256(b.text)
+UNION ALL SELECT doc_id, item_id, 1 FROM ({ORACLE_SQL['decontam_ngram']}) UNION ALL SELECT doc_id, item_id, 2 FROM ({ORACLE_SQL['decontam_jaccard']})
+UNION ALL SELECT a.vec_id, b.vec_id, 3 FROM embeddings a JOIN embeddings b ON b.vec_id IN (SELECT item_id FROM benchmark) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))) >= 0.40)"""
+
+
+@query(f"WITH {_LAYERS_SQL} SELECT doc_id, item_id, CASE min(i) WHEN 0 THEN 'exact' WHEN 1 THEN 'ngram' WHEN 2 THEN 'jaccard' ELSE 'cosine' END AS layer FROM l GROUP BY doc_id, item_id")
+def decontam_layers(spark, sf_dir):
+    """Documents and items by the first of four layers that has them; vectors stand for the rows of their number."""
+    docs, items = (table(spark, sf_dir, n).select(F.col(k).alias("id"), F.col(k).alias("pos"), text.fingerprint(F.col("text")).alias("h")) for n, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    named = lambda df, a, b: df.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    near = similarity.cosine_bands(v, v.join(F.broadcast(items.select("id")), "id", "left_semi"), 0.45, 0.40).where("id <> ref")
+    layers = (
+        ("exact", named(docs.join(items.select(F.col("id").alias("ref"), "h"), "h"), "id", "ref")),
+        ("ngram", named(QUERIES["decontam_ngram"](spark, sf_dir), "doc_id", "item_id")),
+        ("jaccard", named(QUERIES["decontam_jaccard"](spark, sf_dir), "doc_id", "item_id")),
+        ("cosine", named(near, "id", "ref")),
+    )
+    return similarity.first_layer(*layers).select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), "layer")
+
+
 # chat rows and replies
 
 
-@query(r"""SELECT conv_id, turn, 'system' AS first_role, 3 AS n, 'Answer: ' || text AS question, '```python' || chr(10) || text || '```' AS answer FROM conversations WHERE role = 'user'""")
+@query(r"""SELECT conv_id, turn, 'system' AS first_role, 7 AS n, '```python' || chr(10) || 'b' || '```' AS shot, 'Answer: ' || text AS question, '```python' || chr(10) || text || '```' AS answer FROM conversations WHERE role = 'user'""")
 def chat_assembly(spark, sf_dir):
-    """Chat rows: system, question from a template, fenced answer."""
+    """Chat rows: system, two example pairs, question from a template, fenced answer."""
     rows = table(spark, sf_dir, "conversations").where("role = 'user'")
-    m = text.chat(F.lit("Be brief."), [], text.fill_template("Answer: {text}", text=F.col("text")), F.col("text"))
+    m = text.chat(F.lit("Be brief."), [("a?", "a"), ("b?", "b")], text.fill_template("Answer: {text}", text=F.col("text")), F.col("text"))
     rows = rows.select("conv_id", "turn", m.alias("m"))
-    return rows.select("conv_id", "turn", F.col("m")[0]["role"].alias("first_role"), F.size("m").alias("n"), F.col("m")[1]["content"].alias("question"), F.element_at("m", -1)["content"].alias("answer"))
+    return rows.select("conv_id", "turn", F.col("m")[0]["role"].alias("first_role"), F.size("m").alias("n"), F.col("m")[4]["content"].alias("shot"), F.col("m")[5]["content"].alias("question"), F.element_at("m", -1)["content"].alias("answer"))
+
+
+PROMPT = "Write tests. Use exact values. Cover the borders."
+STYLES = {"plain": {}, "shape": {"Use exact values.": "Use what is sure without working it out."}, "short": {"Cover the borders.": "One call in each test."}}
+
+
+@query("""SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'Write tests. Use exact values. Cover the borders.' WHEN 1 THEN 'Write tests. Use what is sure without working it out. Cover the borders.'
+ELSE 'Write tests. Use exact values. One call in each test.' END AS prompt FROM conversations""")
+def prompt_styles(spark, sf_dir):
+    """The system prompt of each conversation's style."""
+    style = F.element_at(F.array(*map(F.lit, STYLES)), (F.col("conv_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.styled_prompt(style, PROMPT, STYLES).alias("prompt"))
 
 
 @query(r"""SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, length(regexp_replace(html, '(?s)^.*?</head>\s*', '')) AS body_chars FROM pages""")
@@ -632,9 +782,11 @@ def running_counters(spark, sf_dir):
     return logs.upsert(state(e.where("event_id < 500")), state(e), "id")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS a, 100 + c_custkey % 40 AS b FROM customer WHERE c_custkey % 3 = 0), arcs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 2 * o_custkey AS a, 2 * o_orderkey + 1 AS b FROM orders UNION SELECT 2 * c_custkey, 2 * (c_custkey // 3 * 3) FROM customer WHERE c_acctbal < 0), arcs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT a AS node, a AS r FROM arcs UNION SELECT node, b FROM reach JOIN arcs ON arcs.a = r) SELECT node, min(r) AS component FROM reach GROUP BY node""")
 def components(spark, sf_dir):
-    """Connected components of a small graph."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("src"), (100 + F.col("c_custkey") % 40).alias("dst"))
-    return connected_components(c)
+    """Connected components of customers, their orders, and customers in debt with a neighbour."""
+    orders = table(spark, sf_dir, "orders").select((2 * F.col("o_custkey")).alias("src"), (2 * F.col("o_orderkey") + 1).alias("dst"))
+    key = F.col("c_custkey")
+    debt = table(spark, sf_dir, "customer").where("c_acctbal < 0").select((2 * key).alias("src"), (2 * (key - key % 3)).alias("dst"))
+    return connected_components(orders.unionByName(debt))
