@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.scratch import materialize
+from millrace.plans.scratch import materialize, release
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     nodes = materialize(given.distinct(), "edges")
     pairs, before = nodes.where("u <> v"), None
     while True:
-        pairs = materialize(_small_star(_large_star(pairs).distinct()).distinct(), "star")
+        last, pairs = pairs, materialize(_small_star(_large_star(pairs).distinct()).distinct(), "star")
+        release(last)
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             break

@@ -91,6 +91,13 @@ def run_suite(suite: str, source: str, allow: bool = False, timeout: float = TIM
         return Run("crash", [], seconds, files)
 
 
+def imports_cleanly(source: str, allow: bool = False, timeout: float = TIMEOUT) -> bool:
+    """Whether the module can be imported: a suite without any call passes on it. Finds names that a cut-out function misses."""
+    probe = "import solution\n\n\ndef test_nothing():\n    pass\n"
+    run = run_suite(probe, source, allow, timeout)
+    return run.status == "ok" and bool(run.tests) and all(t["outcome"] == "passed" for t in run.tests)
+
+
 def run_many(suite: str, sources: dict[str, str], allow: bool = False, workers: int = 1) -> dict[str, Run]:
     """The suite on several sources, by key."""
     with ThreadPoolExecutor(workers) as pool:

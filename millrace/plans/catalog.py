@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions import code, numeric, text
 from millrace.operators import compare, curate, score, similarity, split
 from millrace.operators.graph import connected_components
-from millrace.plans import fixtures
+from millrace.plans import expected, fixtures
 from millrace.plans.scratch import scratch_path, ship
 from millrace.streaming import logs
 
@@ -715,19 +715,19 @@ def reply_extract(spark, sf_dir):
 # source code, over fixtures
 
 
-@query()
+@query(expected.sql("code_mutants"))
 def code_mutants(spark, sf_dir):
     """Mutants of the fixture functions."""
     return code.mutant_rows(fixtures.functions(spark))
 
 
-@query()
+@query(expected.sql("code_functions"))
 def code_functions(spark, sf_dir):
     """Functions of the fixture modules and why they are rejected."""
     return code.function_rows(fixtures.functions(spark))
 
 
-@query()
+@query(expected.sql("code_structure"))
 def code_structure(spark, sf_dir):
     """Classes of equal structure and the similarity of shingles with the first function."""
     rows = fixtures.functions(spark).select("id", code.udf_ast_hash()("source").alias("h"), code.udf_ast_shingles()("source").alias("s"), code.udf_single_function()("source").alias("single"))
@@ -736,7 +736,22 @@ def code_structure(spark, sf_dir):
     return rows.join(least, "h").crossJoin(F.broadcast(first)).select("id", "same_as", "single", r6(numeric.jaccard(F.col("s"), F.col("s1"))).alias("similarity"))
 
 
-@query()
+@query(expected.sql("code_matches"))
+def code_matches(spark, sf_dir):
+    """Fixture functions with the last reference of equal structure: renamed variables don't tell apart, other code does."""
+    rows = fixtures.functions(spark).select("id", code.udf_ast_hash()("source").alias("h"), F.col("id").alias("pos"))
+    hits = similarity.exact_matches(rows.select("id", "h"), rows.where("id IN (1, 2, 4)"), "h")
+    return rows.select("id").join(hits, "id", "left").select("id", "ref")
+
+
+@query(expected.sql("code_first_wins"))
+def code_first_wins(spark, sf_dir):
+    """Of fixture functions of equal structure the first; sources that can't be parsed go."""
+    rows = fixtures.functions(spark).select("id", code.udf_ast_hash()("source").alias("h"), F.col("id").alias("pos"))
+    return curate.first_wins(rows.where("h IS NOT NULL"), "h").select("id")
+
+
+@query(expected.sql("code_suites"))
 def code_suites(spark, sf_dir):
     """Suites cut from replies, within a budget, with the styles of their asserts."""
     replies = fixtures.replies(spark).withColumn("c", text.fenced_code(text.without_thinking(F.col("reply"))))
@@ -744,7 +759,7 @@ def code_suites(spark, sf_dir):
     return suites.select("id", "c.truncated", "u.pytest_import", "b.n_tests", code.udf_styles()("b.suite").alias("y")).select("id", "truncated", "pytest_import", "n_tests", "y.*")
 
 
-@query()
+@query(expected.sql("failure_buckets"))
 def failure_buckets(spark, sf_dir):
     """Failing tests of fixture suites by bucket."""
     rows = fixtures.failures(spark)

@@ -108,3 +108,10 @@ def test_repair():
     assert stats == {"sites": 3, "recorded": 3, "replaced": 1, "already_correct": 1, "too_long": 1, "unliteral": 0, "repr_lengths": [1]}
     assert runner.filled("assert f() == 1\n", {0: "<object>"})[1]["unliteral"] == 1
     assert runner.filled("assert f() == 1\n", {0: "True"})[1]["already_correct"] == 1
+
+
+def test_import_probe():
+    assert runner.imports_cleanly(SOURCE, allow=True, timeout=60)
+    assert not runner.imports_cleanly("x = missing_name\n", allow=True, timeout=60)
+    with pytest.raises(runner.NotAllowed):
+        runner.imports_cleanly(SOURCE)
