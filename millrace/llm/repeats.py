@@ -20,8 +20,10 @@ Windows meet without being shuffled one by one:
    share) isn't gathered: its windows go on one by one, keyed by their own hash,
    with the first of each kept in every task before the shuffle.
 
-Keys and digests have 64 bits each. Two runs are taken as equal where both
-agree; the matchers of step 3 compare the tokens themselves.
+A key has the upper 44 bits of a hash and a digest 64 of another sum. Two runs are
+taken as equal where both agree, without their text being compared: step 2 so
+settles runs that are the same from end to end, and the matchers of step 3, which
+compare the tokens themselves, all others.
 """
 
 from __future__ import annotations

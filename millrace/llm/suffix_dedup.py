@@ -43,8 +43,8 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[i
     return np.argsort(rank, kind="stable"), steps
 
 
-def lcp_array(data: np.ndarray, order: np.ndarray, steps: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Common prefix of each suffix in `order` with the one before it (0 for the first), up to the depth of the last step.
+def lcp_array(data: np.ndarray, order: np.ndarray, steps: list[tuple[int, np.ndarray]], least: int = 0) -> np.ndarray:
+    """Common prefix of each suffix in `order` with the one before it (0 for the first, and for less than `least`), up to the depth of the last step.
 
     `order` may leave suffixes out. Two suffixes agree in the length of a step where
     their classes do, so halving steps and then single symbols find the prefix.
@@ -55,6 +55,9 @@ def lcp_array(data: np.ndarray, order: np.ndarray, steps: list[tuple[int, np.nda
     n, depth = len(data), steps[-1][0]
     a, b, h = order[:-1], order[1:], np.zeros(len(order) - 1, np.int64)
     whole = steps[-1][1][a] == steps[-1][1][b]
+    if least >= depth:
+        out[1:] = depth * whole
+        return out
     last = np.append(data.astype(np.int32), -1)  # past the end nothing agrees
     for size, rank in [*reversed(steps[:-1]), *[(1, None)] * 5]:
         i, j = a + h, b + h
@@ -67,37 +70,37 @@ def lcp_array(data: np.ndarray, order: np.ndarray, steps: list[tuple[int, np.nda
             agree = inside & (rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)])
         h += size * agree
     out[1:] = np.where(whole, depth, np.minimum(h, depth))
+    out[out < least] = 0
     return out
 
 
 def smaller_before(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place in suffix order the nearest place before it that holds a smaller position (-1: none), and the common prefix with that.
+    """For each place in suffix order the nearest place before it that holds a smaller position, and the common prefix with that.
 
     All places follow links at once, over places that hold greater positions; the
-    least common prefix is carried along.
+    least common prefix is carried along, and where none is left the search ends
+    (such a place has 0, and -1 or wherever it was).
     """
     before, shared = np.arange(len(order)) - 1, lcp.copy()
-    todo = np.flatnonzero(before >= 0)
+    todo = np.flatnonzero((before >= 0) & (shared > 0))
     for _ in range(ROUNDS):
         todo = todo[order[before[todo]] > order[todo]]
         if not len(todo):
             return before, shared
         over = before[todo]
-        shared[todo], before[todo] = np.minimum(shared[todo], shared[over]), before[over]
-        gone = before[todo] < 0
-        shared[todo[gone]] = 0
-        todo = todo[~gone]
+        shared[todo], before[todo] = np.where(before[over] < 0, 0, np.minimum(shared[todo], shared[over])), before[over]
+        todo = todo[shared[todo] > 0]
     # long ascending chains: from the left, as links before are final
     for k in todo.tolist():
         j, least, own = int(before[k]), int(shared[k]), order[k]
-        while j >= 0 and order[j] > own:
+        while j >= 0 and least and order[j] > own:
             j, least = int(before[j]), min(least, int(shared[j]))
         before[k], shared[k] = j, least if j >= 0 else 0
     return before, shared
 
 
-def longest_previous_factor(data: np.ndarray, depth: int | None = None, starts: np.ndarray | None = None) -> np.ndarray:
-    """For each position, or each of `starts`, the longest prefix of its suffix that also starts earlier (at one of them), up to `depth`.
+def longest_previous_factor(data: np.ndarray, depth: int | None = None, starts: np.ndarray | None = None, least: int = 0) -> np.ndarray:
+    """For each position, or each of `starts`, the longest prefix of its suffix that also starts earlier (at one of them), up to `depth`; 0 if it is shorter than `least`.
 
     The earlier suffix that shares most is the previous or the next in suffix
     order that holds a smaller position. Positions that aren't asked for have 0.
@@ -109,7 +112,7 @@ def longest_previous_factor(data: np.ndarray, depth: int | None = None, starts:
     order, steps = suffix_array(data, n if depth is None else depth)
     if starts is not None:
         order = order[starts[order]]
-    lcp = lcp_array(data, order, steps)
+    lcp = lcp_array(data, order, steps, least)
     left = smaller_before(order, lcp)[1]
     right = smaller_before(order[::-1], np.concatenate([[0], lcp[1:][::-1]]).astype(np.int32))[1][::-1] if len(order) else left
     result[order] = np.maximum(left, right)
@@ -130,7 +133,7 @@ def array_matcher(texts: dict[int, list], width: int):
             data[a : a + len(text)] = np.frombuffer(text, np.uint8)
             data[a + len(text)] = 256
             starts[a : a + len(text) - width + 1] = True
-        hits = np.flatnonzero(longest_previous_factor(data, width, starts) >= width)
+        hits = np.flatnonzero(longest_previous_factor(data, width, starts, least=width))
         owner = np.searchsorted(at, hits, "right") - 1
         where = hits - at[owner] + np.array([s for (_, s, _), _ in runs])[owner]
         new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (where[1:] != where[:-1] + 1)])[: len(hits)]

@@ -48,6 +48,8 @@ def test_lpf_matches_brute_force():
         starts = np.arange(n) <= n - 4
         assert (longest_previous_factor(d, 4, starts) >= 4).nonzero()[0].tolist() == [i for i in range(n - 3) if lpf[i] >= 4]
         assert longest_previous_factor(d, 4).tolist() == np.minimum(lpf, 4).tolist()
+        assert longest_previous_factor(d, 4, least=4).tolist() == longest_previous_factor(d, 4, starts, least=4).tolist() == np.where(lpf < 4, 0, 4).tolist()
+        assert longest_previous_factor(d, 9, least=3).tolist() == np.where(lpf < 3, 0, np.minimum(lpf, 9)).tolist()
         assert suffix_array(d, max(1, n))[0].tolist() == sorted(range(n), key=lambda i: d[i:].tolist())
 
 
