@@ -35,7 +35,7 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def numbered(docs: DataFrame, apart: bool = False) -> DataFrame:
-    """(id, text, …) with `doc` for the id it has (NULL_ID: null), and `id` a key of the row, in the order of ids.
+    """(id, text, …) with `id` a key of the row, in the order of ids, and `doc` for the id it had (NULL_ID: null) where that is another.
 
     Rows of one real id and one text are one document and share a key, unless
     `apart`; rows of null id never do. Where ids tell the rows apart they are the
@@ -43,7 +43,7 @@ def numbered(docs: DataFrame, apart: bool = False) -> DataFrame:
     a hot id is spread by the hash of the text.
     """
     if docs.groupBy("id").count().where("count > 1").isEmpty():
-        return docs.withColumn("doc", F.col("id"))
+        return docs
     ship(docs.sparkSession)
     p = partitions(docs)
     names, schema = docs.columns, docs.schema
@@ -71,6 +71,11 @@ def outer_id(name: str = "doc_id", column: str = "id"):
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(name)
 
 
+def given_id(numbered: DataFrame, name: str = "doc_id"):
+    """The id a row of `numbered` had."""
+    return outer_id(name, "doc" if "doc" in numbered.columns else "id")
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string array and its n + 1 offsets, without a copy where nothing is null."""
     if isinstance(array, pa.ChunkedArray):

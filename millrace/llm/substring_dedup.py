@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import keyed_text, numbered, outer_id, ship
+from millrace.llm.common import given_id, keyed_text, numbered, outer_id, ship
 from millrace.llm.repeats import Repeats, Words
 
 WIDTH, GRAM = 20, 10
@@ -92,8 +92,9 @@ def dedup_word_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts have no words. Repeated rows, null ids and other columns: as in
     `suffix_dedup.dedup_substrings`.
     """
-    out = Repeats(Words, width, gram, automaton_matcher).cleaned(numbered(keyed_text(docs, id_col, text_col)))
-    return out.select(outer_id(id_col, "doc"), F.col("n").alias("n_words"), "n_removed", "n_spans", F.col("kept").cast("string").alias("kept"))
+    own = numbered(keyed_text(docs, id_col, text_col))
+    out = Repeats(Words, width, gram, automaton_matcher).cleaned(own)
+    return out.select(given_id(own, id_col), F.col("n").alias("n_words"), "n_removed", "n_spans", F.col("kept").cast("string").alias("kept"))
 
 
 def match_reference(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:

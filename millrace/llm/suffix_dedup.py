@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import keyed_text, numbered, outer_id
+from millrace.llm.common import given_id, keyed_text, numbered
 from millrace.llm.repeats import Bytes, Repeats
 
 WIDTH, GRAM = 100, 32
@@ -161,5 +161,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     result. All other rows are documents of their own, in the order of id and then
     of an order of texts; null ids sort first. Other columns are ignored.
     """
-    out = Repeats(Bytes, width, gram, array_matcher).cleaned(numbered(keyed_text(docs, id_col, text_col)))
-    return out.select(outer_id(id_col, "doc"), F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept")
+    own = numbered(keyed_text(docs, id_col, text_col))
+    out = Repeats(Bytes, width, gram, array_matcher).cleaned(own)
+    return out.select(given_id(own, id_col), F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept")
