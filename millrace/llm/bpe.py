@@ -31,6 +31,9 @@ _SPLIT = regex.compile(f"[{SPACE}]+")
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Text bytes whose new words are encoded together; words and other pieces that a worker remembers.
 BLOCK, WORDS, OTHERS = 4 << 20, 200_000, 100_000
+#: Text bytes at once where the ids themselves are given back: what their new words take while they are merged
+#: is most of a worker's memory, and in a pipeline the executor still holds what earlier stages left.
+ARRAY_BLOCK = 1 << 19
 #: Marks that are one token behind a word of letters, whatever the word.
 STOPS = frozenset(".,;:!?")
 
@@ -365,10 +368,10 @@ def worker(path: str, make: Callable[[PairIndexBPE], Worker]) -> Worker:
     return make(_vocabularies[path])
 
 
-def pair_worker(bpe: PairIndexBPE, show: Callable[[list[int]], object], join: Callable[[list], object]) -> Worker:
+def pair_worker(bpe: PairIndexBPE, show: Callable[[list[int]], object], join: Callable[[list], object], block: int = BLOCK) -> Worker:
     """Values are (show(ids), decoded text), by the pair index."""
     both = lambda ids: (show(ids), bpe.decode(ids))
-    return Worker(bpe, lambda words: [both(ids) for ids in bpe.merged([w.encode() for w in words])], lambda pairs: (join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])), lambda i: both([i]))
+    return Worker(bpe, lambda words: [both(ids) for ids in bpe.merged([w.encode() for w in words])], lambda pairs: (join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])), lambda i: both([i]), block=block)
 
 
 def digest_worker(bpe: PairIndexBPE) -> Worker:
@@ -378,7 +381,7 @@ def digest_worker(bpe: PairIndexBPE) -> Worker:
 
 def array_worker(bpe: PairIndexBPE) -> Worker:
     """Values are (ids as 32-bit integers, decoded text)."""
-    return pair_worker(bpe, lambda ids: np.array(ids, "<i4").tobytes(), b"".join)
+    return pair_worker(bpe, lambda ids: np.array(ids, "<i4").tobytes(), b"".join, ARRAY_BLOCK)
 
 
 def gathered(index: np.ndarray, cuts: np.ndarray, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,9 @@
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,26 @@ def test_round_trip_as_the_library(spark, library):
     assert round_trip(docs.limit(0)).collect() == []
 
 
+def test_memory_of_a_worker_that_gives_ids():
+    # a process of its own: the largest size of this one says nothing
+    code = """
+import random, resource
+import pyarrow as pa
+from millrace.llm.bpe import PairIndexBPE, array_worker, default_path, gathered, sentences
+state, r = array_worker(PairIndexBPE(default_path())), random.Random(5)
+texts = pa.array([" ".join("".join(r.choices("etaoinshrd", k=7)) for _ in range(500)) for _ in range(1000)])
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+before, n = peak(), 0
+for index, cuts, values in state.blocks(texts):
+    flat, counts = gathered(index, cuts, [v[0] for v in values])
+    n += len(sentences(index, cuts, [v[1] for v in values]))
+print(n, peak() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300, cwd=Path(__file__).parents[2])
+    n, grown = map(int, out.stdout.split())
+    assert n == 1000 and grown < 250
+
+
 @pytest.mark.parametrize("top", [1, 200, 256, 70_000, 2**40])
 def test_codes_random_access(top):
     r = np.random.default_rng(1)
