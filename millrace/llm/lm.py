@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, keyed_text, materialize, outer_id, ship, tidied, utf8, word_bounds
+from millrace.llm.common import blocks, keyed_text, materialize, outer_id, partitions, ship, tidied, utf8, word_bounds
 
 #: Classes: WORDS common words at least, BUCKETS of endings, the end.
 WORDS, BUCKETS = 191, 64
@@ -221,7 +221,8 @@ def train(codes: np.ndarray, counts: np.ndarray, classes: int = CLASSES, seed: i
     """
     rng = np.random.default_rng(seed)
     order = np.argsort(codes)
-    codes, counts = codes[order].astype(np.int64), counts[order].astype(np.float64)
+    codes, counts = codes[order].astype(np.int64, copy=False), counts[order].astype(np.float64, copy=False)
+    del order
     if unigram is None:
         unigram = np.bincount(codes % classes, counts, classes) + 0.5
     unigram = unigram / unigram.sum()
@@ -236,7 +237,7 @@ def train(codes: np.ndarray, counts: np.ndarray, classes: int = CLASSES, seed: i
         steps, rate_at = -(-len(at) // BATCH), RATE / 4
     params = net.parameters()
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    total = np.cumsum(counts)
+    total = np.cumsum(counts) if weights is None else None
     for step in range(1, steps + 1):
         if weights is None:
             x, weight = codes[np.searchsorted(total, rng.random(BATCH) * total[-1], "right").clip(0, len(codes) - 1)], np.ones(BATCH)
@@ -278,8 +279,13 @@ def averaged(rows: DataFrame, net: LogBilinear, classes: int, unigram: np.ndarra
         def go():
             nonlocal total, weight
             codes, n = (np.concatenate(x) for x in zip(*held))
-            codes, at = np.unique(codes, return_inverse=True)
-            n = np.bincount(at, n)
+            held.clear()
+            order = np.argsort(codes)
+            codes, n = codes[order], n[order].astype(np.float64)
+            del order
+            first = np.flatnonzero(np.diff(codes, prepend=-1))
+            codes, n = codes[first], np.add.reduceat(n, first)
+            del first
             made = train(codes, n, classes, seed=seed + 1000 * nth, net=sent.value, unigram=unigram)
             total, weight = total + n.sum() * np.concatenate([p.ravel() for p in made.parameters()]).astype(np.float64), weight + n.sum()
 
@@ -414,6 +420,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             )
 
     # only words of several shares come back: of the others a share knows the count itself
-    back = each.join(totals.where("shares > 1").select("word", "total"), "word").groupBy("g").agg(F.collect_list(F.struct("at", "total")).alias("totals"))
-    out = shares.join(back, "g", "left").mapInArrow(lambda source: tidied(run(source)), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    p, places = partitions(docs), 2 * max(1, shares.select("g").count())
+    back = each.repartition(p, "word").join(totals.where("shares > 1").select("word", "total").repartition(p, "word"), "word")
+    # a place has a share or a few, however many there are: the numbers of a share meet in its place, and it is sent there once
+    back = back.select("g", "at", "total").repartition(places, "g").groupBy("g").agg(F.collect_list(F.struct("at", "total")).alias("totals"))
+    out = shares.repartition(places, "g").join(back, "g", "left").mapInArrow(lambda source: tidied(run(source)), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(outer_id(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")

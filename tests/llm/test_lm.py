@@ -132,3 +132,13 @@ def test_classes_and_training_grow(spark):
 def test_more_words_have_classes_in_a_larger_corpus(spark, monkeypatch):
     monkeypatch.setattr(lm, "words_for", lambda tokens: 200)
     test_against_brute_force(spark)
+
+
+def test_places_of_the_last_join_follow_the_shares(spark):
+    import re
+
+    docs = spark.createDataFrame([(i, f"one two w{i}") for i in range(60)], "doc_id long, text string").repartition(6)
+    out = lm.score_documents(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(g#\d+L, 12\), REPARTITION_BY_NUM", plan)) == 2
+    assert out.count() == 60
